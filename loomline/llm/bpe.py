@@ -77,7 +77,7 @@ class Codec:
         self.slots, self.rank_at = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int64)
         self.reach = 1
         for r, k in enumerate(key):
-            at, probes = int((np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift), 1
+            at, probes = ((int(k) * 0x9E3779B97F4A7C15) & (1 << 64) - 1) >> int(self.shift), 1
             while self.slots[at] >= 0 and self.slots[at] != k:
                 at, probes = (at + 1) % len(self.slots), probes + 1
             if self.slots[at] < 0:
@@ -231,7 +231,7 @@ class Codec:
                 known = set().union(*(p for parts in cut for p, _ in parts))
                 self.learn(known)
                 get = self.store.__getitem__
-                out += [b"".join(x for pieces, special in parts for x in (*map(get, pieces), special)) for parts in cut]
+                out += [b"".join(map(get, parts[0][0])) if len(parts) == 1 else b"".join(b"".join(map(get, pieces)) + special for pieces, special in parts) for parts in cut]
             at = upto
         return out
 
