@@ -4,7 +4,7 @@ Equal vectors are one node from the start, with the smallest ids of its rows as
 fills a third of the table is searched once. For the graph, vectors get one more component that gives all the
 same length, which turns the largest inner product into the nearest direction, and are kept as 8-bit codes.
 
-Building. PIVOTS nodes, a fixed number, are broadcast; each node goes to the cells of its nearest pivots, cells
+Building. Some nodes, PIVOTS[1] at most, are broadcast as pivots; each node goes to the cells of its nearest pivots, cells
 are cut into blocks of at most CELL nodes, and a block's nodes are compared with each other. From there on
 NN-descent: each node brings together its neighbours and those that it is a neighbour of, DEGREE of each, which
 are then compared; who finds a nearer neighbour so takes it. That is a join of the graph with itself and with
@@ -38,12 +38,13 @@ from pyspark.sql import types as T
 from loomline.llm.sparkkit import Table, groups, saved
 from loomline.llm.topk import usable
 
-DEGREE = 16
-PIVOTS = 256
-CELLS = 3
-CELL = 384
-BEAM = 64
-OPEN = 16
+DEGREE = 24
+#: One node in so many is a pivot, within these bounds: what is broadcast has at most the last number of rows.
+PIVOT_SHARE, PIVOTS = 400, (64, 4096)
+CELLS = 6
+CELL = 4096
+BEAM = 128
+OPEN = 32
 ROUNDS = 6
 SETTLED = 0.02
 
@@ -92,6 +93,15 @@ def chunks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k highest scores, highest first."""
+    k = min(k, scores.shape[1])
+    if k < scores.shape[1]:
+        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(part, np.argsort(-np.take_along_axis(scores, part, 1), axis=1, kind="stable"), 1)
+    return np.argsort(-scores, axis=1, kind="stable")
+
+
 def encode(x: np.ndarray) -> np.ndarray:
     """Unit vectors as one byte a component."""
     return np.clip(np.rint(x * 127), -127, 127).astype(np.int8)
@@ -140,10 +150,11 @@ def build(rows: DataFrame, k: int, degree: int = DEGREE, most_rounds: int = 5) -
 
     coded = nodes.select("node", "v").mapInArrow(code, T.StructType([nodes.schema["node"], T.StructField("code", T.BinaryType()), nodes.schema["v"]]))
     coded = saved(coded)
-    chosen = coded.select("node", "code").orderBy(F.xxhash64("node"), "node").limit(PIVOTS).toArrow()
+    total = coded.count()
+    few = min(max(total // PIVOT_SHARE, PIVOTS[0]), PIVOTS[1])
+    chosen = coded.select("node", "code").orderBy(F.xxhash64("node"), "node").limit(few).toArrow()
     ids, pivots = chosen["node"].to_numpy(), _codes(chosen["code"])
     graph = Table(_start(coded.select("node", "code"), pivots, degree))
-    total = coded.count()
     for _ in range(most_rounds):
         after = Table(_descend(graph.df, coded.select("node", "code"), degree))
         graph.drop()
@@ -163,14 +174,14 @@ def _start(coded: DataFrame, pivots: np.ndarray, degree: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = _codes(batch.column(1))
-                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :CELLS]
+                near = best_of(x @ shared.value.T, CELLS)
                 at = np.repeat(np.arange(len(x)), near.shape[1])
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), *part.columns], names=dealt.names)
 
     cells = saved(coded.mapInArrow(deal, dealt))
     counts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"))
-    blocks = cells.join(F.broadcast(counts), "cell")  # PIVOTS rows
+    blocks = cells.join(F.broadcast(counts), "cell")  # a row for each pivot
     blocks = blocks.withColumn("block", F.col("cell").cast("long") * (1 << 40) + F.pmod(F.xxhash64("node", "cell"), F.col("blocks"))).select("block", "node", "code")
     blocks = blocks.repartition("block").sortWithinPartitions("block")
 
@@ -181,7 +192,7 @@ def _start(coded: DataFrame, pivots: np.ndarray, degree: int) -> DataFrame:
                 s = x[at : at + 512] @ x.T
                 own = node[at : at + 512]
                 s[own[:, None] == node] = -9
-                best = np.argsort(-s, axis=1, kind="stable")[:, : min(degree, len(node) - 1)]
+                best = best_of(s, min(degree, len(node) - 1))
                 cuts = np.arange(len(own) + 1) * best.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(own), _lists(node[best].ravel(), cuts, pa.int64()), _lists(np.take_along_axis(s, best, 1).ravel(), cuts, pa.float32()), _lists(np.ones(best.size, bool), cuts, pa.bool_())], names=_EDGES.names)
 
@@ -279,7 +290,7 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, rounds: i
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float32)
                 s = x @ pivots[:, :-1].T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :OPEN]
+                best = best_of(s, OPEN)
                 cuts = np.arange(len(x) + 1) * best.shape[1]
                 yield _state(batch.column(0).to_numpy(), x, ids[best].ravel(), np.take_along_axis(s, best, 1).ravel(), cuts, [[]] * len(x), beam)
 
