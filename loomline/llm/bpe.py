@@ -28,7 +28,7 @@ from loomline.llm.sparkkit import add_columns
 
 #: The cutting pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-STORE = 1_500_000
+STORE = 300_000
 LOCKSTEP = 64
 NONE = np.int64(1) << 40
 
@@ -206,7 +206,7 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Work out pieces that the store lacks."""
         if len(self.store) + len(pieces) > STORE:
-            self.store.clear()
+            self.store = {p: self.store[p] for p in pieces if p in self.store}
         new = [p for p in pieces if p not in self.store]
         raw = [p.encode() for p in new]
         short = [i for i, r in enumerate(raw) if len(r) <= LOCKSTEP]

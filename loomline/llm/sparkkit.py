@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +59,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def give_back() -> None:
+    """Return free memory to the system at a task's end; an idle Python worker would keep it from the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: T.StructType) -> DataFrame:
     """mapInArrow with a worker made once for each task."""
 
@@ -65,6 +76,8 @@ def map_arrow(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Itera
             yield from worker(batch)
         if flush := getattr(worker, "flush", None):
             yield from flush()
+        del worker
+        give_back()
 
     return df.mapInArrow(run, schema)
 
