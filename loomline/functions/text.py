@@ -61,7 +61,7 @@ def years(text: Column) -> Column:
 
 def headings(text: Column, least: int = 5) -> Column:
     """Titles of `== Title ==` lines."""
-    lines = F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: (F.length(x) >= least) & x.startswith("==") & x.endswith("=="))
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: (F.length(x) >= least) & x.startswith("==") & x.endswith("=="))
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^=+|=+$", ""))), lambda x: x != "")
 
 
@@ -69,7 +69,7 @@ def trim_tail(text: Column, titles: tuple[str, ...] = ("References", "External l
     """text up to its first closing section's heading, if that comes after `share` of it."""
     pattern = r"(?mi)^=+\s*(" + "|".join(titles) + r")\s*=+\s*$"
     at = F.regexp_instr(text, F.lit(pattern))
-    return F.when((at > 0) & (at - 1 >= F.length(text) * share), F.rtrim(F.substring(text, F.lit(1), at - 1))).otherwise(text)
+    return F.when((at > 0) & (at - 1 >= F.length(text) * share), F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"(?U)\s+$", "")).otherwise(text)
 
 
 def paragraphs(text: Column) -> Column:
@@ -128,7 +128,7 @@ def aliases(text: Column) -> Column:
     listed = F.from_json(text, "array<string>")
     parts = F.split(text, r"[|;/]")
     found = F.when(F.trim(text).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(parts)
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def tolerant_json(text: Column) -> Column:
