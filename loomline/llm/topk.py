@@ -158,5 +158,6 @@ def _best(scores: np.ndarray, ids: np.ndarray, lows: np.ndarray, wants: np.ndarr
     over = (scores > lows[:, None]) & (scores > NEVER)
     ties = scores == lows[:, None]
     over |= ties & (np.cumsum(ties, axis=1) <= k)
+    over &= scores > NEVER
     at, place = np.nonzero(over)
     return at, ids[place], scores[at, place].astype(np.int64)
