@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import hashing, text, vectors
-from loomline.operators import bus, corpus, screen, telemetry
+from loomline.operators import bus, corpus, notes, screen, telemetry
+from loomline.sources import files
+from loomline.streaming import bus as stream_bus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -491,3 +493,134 @@ def p14_d6_set_gaps(spark, sf_dir):
     none = F.array().cast("array<string>")
     lacking, unasked = corpus.set_gaps(F.coalesce("u", none), F.coalesce("a", none))
     return every.select("conv_id", lacking.alias("lacking"), unasked.alias("unasked"))
+
+
+# Files: each query writes its table in the shape that a scan reads, and reads it back
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def s1_jsonl_scan(spark, sf_dir):
+    base = files.scratch(spark, "shards")
+    rows = t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows.write.json(f"{base}/part_a")
+    spark.createDataFrame([("{broken",), ("",)], "value string").coalesce(1).write.text(f"{base}/part_b")
+    return files.jsonl_shards(spark, base, ["part_a", "part_b", "missing"], rows.schema)
+
+
+@query("SELECT lang AS domain, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+def s9_document_folders(spark, sf_dir):
+    base = files.scratch(spark, "folders")
+    t(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars").write.partitionBy("lang").json(base)
+    found = files.json_documents(spark, base, "doc_id long, n_chars long")
+    return found.groupBy(F.regexp_replace("folder", "^lang=", "").alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT role AS split, count(*) AS n FROM conversations GROUP BY 1")
+def s11_split_sink(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").withColumnRenamed("role", "split")
+    return files.write_splits(rows, files.scratch(spark, "splits"), "split")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS run FROM documents")
+def s12_j7_resumed_export(spark, sf_dir):
+    path, rows = files.scratch(spark, "export"), t(spark, sf_dir, "documents").select("doc_id", "lang")
+    files.append_new(rows.filter("lang = 'en'").select("doc_id", F.lit(1).alias("run")), path, "doc_id")  # the run that was stopped
+    files.append_new(rows.select("doc_id", F.lit(2).alias("run")), path, "doc_id")
+    return spark.read.schema("doc_id long, run int").json(path)
+
+
+@query(_MARKED + "SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, reason, count(*) AS n FROM marked GROUP BY 1, 2")
+def s14_accept_reject(spark, sf_dir):
+    return files.accept_reject(_screened(spark, sf_dir).select("doc_id", "reason"), "reason", files.scratch(spark, "outcomes"))
+
+
+@query("SELECT page_id, 'invalid_json' AS error_type, 422 AS status, 3 AS retries, substr(html, 1, 200) AS excerpt FROM pages")
+def s16_x6_failure_log(spark, sf_dir):
+    path = files.scratch(spark, "failures")
+    files.log_failures(files.failures(t(spark, sf_dir, "pages"), "page_id", F.lit("invalid_json"), F.lit(422), F.lit(3), F.col("html")), path)
+    return spark.read.schema("page_id long, error_type string, status int, retries int, excerpt string").json(path)
+
+
+@query("SELECT user_id // 64 AS chunk, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def s18_g17_chunked_series(spark, sf_dir):
+    path = files.scratch(spark, "series")
+    files.write_chunks(t(spark, sf_dir, "events").select("user_id", "event_id", "value"), path, "user_id", 64)
+    return files.load_chunks(spark, path).groupBy(F.col("chunk").cast("long")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# Streams over the events
+
+
+@query("""SELECT user_id, n - rn + 1 AS version, event_id, value FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 4""")
+def g1_stream_pushes(spark, sf_dir):
+    return stream_bus.drained(stream_bus.pushes(stream_bus.stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", 4), ["user_id"])
+
+
+@query("SELECT user_id, event_type, count(value) AS n, (avg(value) < 50)::INT AS triggered FROM events GROUP BY 1, 2")
+def g9_agreement_gate(spark, sf_dir):
+    return stream_bus.drained(stream_bus.agreement(stream_bus.stream(spark, sf_dir, "events"), ["user_id", "event_type"], "value", 50.0), ["user_id", "event_type"])
+
+
+@query("SELECT event_type, count(*) AS n, count(*) // 8 AS strides, count(*) % 8 AS open FROM events GROUP BY 1")
+def g3_stream_strides(spark, sf_dir):
+    return stream_bus.drained(stream_bus.strides(stream_bus.stream(spark, sf_dir, "events"), "event_type", 8), ["event_type"])
+
+
+@query("""SELECT event_id, user_id, version FROM (SELECT *, max(version) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+ FROM (SELECT *, floor(value)::BIGINT AS version FROM events)) WHERE seen IS NULL OR version > seen""")
+def g11_monotonic_versions(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor("value").cast("long").alias("version"))
+    return notes.not_regressed(rows, ["user_id"], ["ts", "event_id"], "version").drop("ts")
+
+
+@query("""WITH p AS (SELECT user_id, event_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, s.step::INT AS step, event_id FROM range(100) s(step) JOIN p ON p.pos = least(s.step, p.n - 1)""")
+def g16_replay(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return notes.replayed(rows, "user_id", ["ts", "event_id"], 100).select("user_id", "step", "event_id")
+
+
+# Notes and requests
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'bad_entity' END AS reason, CASE WHEN role <> 'system' THEN role END AS stream_id,
+ CASE WHEN role <> 'system' THEN text END AS name, CASE WHEN role <> 'system' THEN CASE role WHEN 'user' THEN 0.9 ELSE 0.8 END END::DOUBLE AS certainty,
+ CASE WHEN role <> 'system' THEN length(text) END::INT AS last, CASE WHEN role <> 'system' THEN role = 'user' END::INT AS canonical FROM conversations""")
+def r1_x17_rehydrated_notes(spark, sf_dir):
+    listed = lambda *xs: F.concat(F.lit("["), F.concat_ws(",", *xs), F.lit("]"))
+    quoted = lambda x: F.substring(F.to_json(F.array(x)), 2, 1 << 30)
+    text_ = F.regexp_replace(quoted(F.col("text")), r"\]$", "")
+    certainty = F.when(F.col("role") == "user", F.lit('"High"')).otherwise(F.lit('"so so"'))
+    ent = F.when(F.col("role") == "system", F.lit('["e1"]')).otherwise(listed(F.lit('"e1"'), text_, F.lit('"TURN"'), (F.col("role") == "user").cast("string"), F.lit('["a"]')))
+    fact = listed(F.lit('"e1"'), F.lit('"says"'), text_, certainty, listed(F.lit("0"), F.length("text").cast("string"), text_))
+    raw = F.concat(F.lit('{"stream_id":"'), F.col("role"), F.lit('","ENT":['), ent, F.lit('],"FACT":["stray",'), fact, F.lit('],"COVERAGE":[["i1","covered"]]}'))
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw")).withColumn("reason", notes.compact_reason(F.col("raw")))
+    n = rows.withColumn("n", F.when(F.col("reason").isNull(), notes.rehydrated(F.col("raw"))))
+    fact0, ent0 = F.col("n.FACT")[0], F.col("n.ENT")[0]
+    return n.select("conv_id", "turn", "reason", F.col("n.stream_id").alias("stream_id"), ent0["name"].alias("name"), fact0["certainty"].alias("certainty"), fact0["evidence_span"]["end"].alias("last"), ent0["canonical"].cast("int").alias("canonical"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) = 3)")
+def j4_j5_complete_groups(spark, sf_dir):
+    return notes.complete_groups(t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], 3)
+
+
+@query("""SELECT DISTINCT conv_id, CASE WHEN a > 0 THEN 'assistant' WHEN u > 0 THEN 'user' ELSE '' END AS from_role FROM (SELECT conv_id,
+ count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY 1)""")
+def j2_plan_ordered_notes(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "role").distinct().withColumn("said", F.array("role"))
+    merged = notes.plan_ordered(rows.select("conv_id").distinct(), rows.filter("role = 'assistant'"), rows.filter("role = 'user'"), ["conv_id"], "said")
+    return merged.select("conv_id", F.array_join("said", "").alias("from_role"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 512 THEN 512 WHEN n_chars < 8192 THEN least(8192, greatest(2 * n_chars, n_chars + 1)) END AS budget FROM documents")
+def x4_expanded_budget(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", notes.expanded_budget(F.col("n_chars"), 512, 8192).alias("budget"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_quantity - CASE WHEN l_returnflag = 'R' THEN least(l_linenumber, l_quantity) ELSE 0 END)::BIGINT AS ones, l_quantity::BIGINT AS slots FROM lineitem")
+def r6_continuation_labels(spark, sf_dir):
+    labels = notes.continuation_labels(F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.col("l_returnflag") == "R")
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", labels.alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", F.aggregate("x", F.lit(0), lambda a, b: a + b).cast("long").alias("ones"), F.size("x").cast("long").alias("slots"))
