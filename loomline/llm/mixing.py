@@ -82,7 +82,10 @@ def copies(docs: DataFrame, seed: str = "mix", key: str = "doc_id", text: str =
 
 
 def mix(docs: DataFrame, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text", **recipe) -> DataFrame:
-    """docs with each row as often as the mix has it, in docs' own columns."""
+    """docs with each row as often as the mix has it, in docs' own columns.
+
+    The join is named, as the plan grows with the documents: small corpora take the path that large ones take.
+    """
     plan = saved(copies(docs, seed, key, text, source, **recipe).filter("copies > 0").select("doc_id", "source", "size", "nth", "copies"))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("size", word_count(F.col(f"row.`{text}`")))
@@ -92,5 +95,5 @@ def mix(docs: DataFrame, seed: str = "mix", key: str = "doc_id", source: str = "
     else:
         rows = rows.withColumn("nth", F.lit(0).cast("long"))
     match = F.col(f"l.row.`{key}`").eqNullSafe(F.col("r.doc_id")) & F.col(f"l.row.`{source}`").eqNullSafe(F.col("r.source")) & (F.col("l.size") == F.col("r.size")) & (F.col("l.nth") == F.col("r.nth"))
-    taken = rows.alias("l").join(plan.alias("r"), match).select("l.row", "r.copies")
+    taken = rows.alias("l").join(plan.hint("merge").alias("r"), match).select("l.row", "r.copies")
     return repeat(taken, "copies", "__copy").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
