@@ -55,8 +55,8 @@ def unicode_words(text: Column) -> Column:
 
 
 def years(text: Column) -> Column:
-    """Years from 1000 to 2099."""
-    return F.regexp_extract_all(text, F.lit(r"\b((?:1\d|20)\d{2})\b"), F.lit(1))
+    """Numbers of four digits, taken for years."""
+    return F.regexp_extract_all(text, F.lit(r"\b(\d{4})\b"), F.lit(1))
 
 
 def headings(text: Column, least: int = 5) -> Column:
@@ -95,7 +95,7 @@ def coverage_status(value: Column) -> Column:
 def certainty(value: Column, default: float = 0.75) -> Column:
     """A number in [0, 1] from a word or a numeral."""
     word = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    number = F.when(word == "low", 0.35).when(word.isin("medium", "mid", "moderate"), 0.6).when(word == "high", 0.85).when(word == "certain", 1.0)
+    number = F.when(word == "low", 0.35).when(word.isin("medium", "mid", "moderate"), 0.6).when(word == "high", 0.85).when(word == "sure", 0.9).when(word == "certain", 1.0)
     numeral = word.try_cast("double")
     return F.coalesce(number, F.when(numeral.between(0, 1), numeral), F.lit(default))
 
@@ -109,18 +109,35 @@ def integer(value: Column, default: int = 0) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(default))
 
 
-def template_prefix(text: Column) -> Column:
-    """The tag before a template's colon; TEXT without one."""
-    return F.when(F.contains(text, F.lit(":")), F.upper(F.trim(F.substring_index(text, ":", 1)))).otherwise("TEXT")
+#: Fixed value: a key and its value, which may be quoted, in a template.
+KEY_VALUE = r"""(\w+)=('[^']*'|"[^"]*"|[^,]+)"""
 
 
-def template_fields(text: Column) -> Column:
-    """Fields of `TAG:key=value,key='value, with commas'` as a map; the last of equal keys wins."""
-    rest = F.regexp_replace(text, r"^[^:]*:", "")
-    pattern = r"(\w+)\s*=\s*('[^']*'|[^,]*)"
-    keys = F.regexp_extract_all(rest, F.lit(pattern), F.lit(1))
-    values = F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(2)), lambda x: F.trim(F.regexp_replace(F.trim(x), "^'|'$", "")))
-    return F.map_from_arrays(keys, values)
+def template_prefix(text: Column, bare: bool = True) -> Column:
+    """The tag before a template's colon; TEXT without one, and nothing for blank text. bare: text is still to be stripped."""
+    plain = strip(text) if bare else text
+    return F.when(plain == "", plain).when(F.contains(plain, F.lit(":")), F.upper(strip(F.substring_index(plain, ":", 1)))).otherwise("TEXT")
+
+
+def template_fields(text: Column, bare: bool = True) -> Column:
+    """Fields of `TAG:key=value,key='value, with commas'` as a map; the last of equal keys wins. Without a tag: text."""
+    plain = strip(text) if bare else text
+    rest = F.regexp_replace(plain, r"(?s)^[^:]*:", "")
+    unquoted = lambda x: strip(F.regexp_replace(strip(x), r"""(?s)^(['"])(.*)\1$""", "$2"))
+    found = F.arrays_zip(F.regexp_extract_all(rest, F.lit(KEY_VALUE), F.lit(1)).alias("k"), F.regexp_extract_all(rest, F.lit(KEY_VALUE), F.lit(2)).alias("v"))
+    entries = F.transform(found, lambda x: F.struct(x["k"].alias("key"), unquoted(x["v"]).alias("value")))
+    tagged = F.map_from_entries(last_by(entries, lambda x: x["key"]))
+    return F.when(F.contains(plain, F.lit(":")), tagged).otherwise(F.create_map(F.lit("text"), plain))
+
+
+def first_by(items: Column, key) -> Column:
+    """items without those whose key an earlier one has."""
+    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: key(y) == key(x)))
+
+
+def last_by(items: Column, key) -> Column:
+    """items without those whose key a later one has."""
+    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.greatest(F.size(items), F.lit(1))), lambda y: key(y) == key(x)))
 
 
 def aliases(text: Column) -> Column:

@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import hashing, text, vectors
 from loomline.operators import bus, corpus, notes, screen, telemetry
+from loomline.plans import bus_queries, contract_queries, supervision_queries  # noqa: F401  (they register)
+from loomline.plans.registry import ORACLES as ORACLES
+from loomline.plans.registry import QUERIES as QUERIES
+from loomline.plans.registry import query, r6, t
 from loomline.sources import files
 from loomline.streaming import bus as stream_bus
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Register a function under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(column):
-    return F.round(column, 6)
-
-
 # Screening
 
 _REASON = r"""
