@@ -65,6 +65,11 @@ def headings(text: Column, least: int = 5) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^=+|=+$", ""))), lambda x: x != "")
 
 
+def flat_sections(sections: Column) -> Column:
+    """Texts of sections (text, else content) with a blank line between."""
+    return F.array_join(F.transform(sections, lambda s: F.coalesce(falsy(s["text"]), s["content"], F.lit(""))), "\n\n")
+
+
 def trim_tail(text: Column, titles: tuple[str, ...] = ("References", "External links", "See also", "Further reading", "Notes"), share: float = 0.4) -> Column:
     """text up to its first closing section's heading, if that comes after `share` of it."""
     pattern = r"(?mi)^=+\s*(" + "|".join(titles) + r")\s*=+\s*$"
@@ -155,7 +160,20 @@ def tolerant_json(text: Column) -> Column:
     return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (F.trim(t) != ""), t) for t in (text, fenced, braced)])
 
 
+# Phrases by which one stream's text leans on another stream.
+CROSS_STREAM = (
+    r"\bstream\s*(?:one|two|three|1|2|3)\b",
+    r"\bprevious\s+stream\b",
+    r"\bprior\s+stream\b",
+    r"\banother\s+stream\b",
+    r"\bother\s+streams?\b",
+    r"\bdepends?\s+on\s+stream\b",
+    r"\buses?\s+stream\b",
+    r"\bbuilds?\s+on\s+stream\b",
+    r"\brefin(?:e|ing)\s+stream\b",
+)
+
+
 def cross_stream_reference(text: Column) -> Column:
-    """Whether text refers to another stream or section."""
-    words_ = "(?i)\\b(stream[ _]?[123]|other streams?|previous (section|stream)|next (section|stream)|as (mentioned|discussed) (above|earlier)|see above|see below)\\b"
-    return text.rlike(words_)
+    """Whether text leans on another stream."""
+    return text.rlike("(?i)" + "|".join(CROSS_STREAM))

@@ -73,3 +73,27 @@ def classified(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:
     got = results.withColumn("__met", F.lit(True))
     reason = F.when(F.col("__met").isNull(), "classifier_missing_result").when(F.lower("error").contains("rate limit"), "classifier_rate_limited").when(F.col("error").isNotNull(), "classifier_error")
     return requests.join(got, key, "left").withColumn("soft_reason", reason).drop("__met")
+
+
+def verdicts(rows: DataFrame, faults: dict[str, Column], key: str, seed: str, share: float = 0.01) -> DataFrame:
+    """rows with the reasons that hold, in order, whether none does, and of those retained a share marked for audit by hash."""
+    reasons = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()]), lambda x: x.isNotNull())
+    out = rows.withColumn("reasons", reasons).withColumn("retained", F.size("reasons") == 0)
+    return out.withColumn("audited", F.col("retained") & (hashing.fraction(F.lit(seed), F.col(key)) < share))
+
+
+def excerpt(body: Column, most: int = 8000) -> Column:
+    """What a classifier is shown of a text."""
+    return F.substring(body, 1, most)
+
+
+def heading_list(body: Column, most: int = 15) -> Column:
+    """The first headings of a text, for a classifier; None without any."""
+    found = F.slice(text.headings(body), 1, most)
+    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("None")
+
+
+def task_sample(rows: DataFrame, domain: str, key: str, most: int, name: str, seed: int) -> DataFrame:
+    """Exactly `most` rows of each domain, or all, drawn without replacement in hash order."""
+    order = Window.partitionBy(domain).orderBy(hashing.shuffle_key(F.lit(name), F.col(key), F.lit(seed)), key)
+    return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).drop("__r")

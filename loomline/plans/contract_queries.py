@@ -119,9 +119,9 @@ def r3_flat_kinds(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", contracts.flat_kind(item).alias("kind"))
 
 
-@query("SELECT l_suppkey, l_returnflag, l_linestatus, arg_max(l_partkey, l_orderkey * 8 + l_linenumber) AS start FROM lineitem GROUP BY 1, 2, 3")
+@query("SELECT l_suppkey, l_returnflag, l_linestatus, arg_max(l_partkey, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) AS start FROM lineitem GROUP BY 1, 2, 3")
 def x13_fact_starts(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").withColumn("nth", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    rows = t(spark, sf_dir, "lineitem").withColumn("nth", (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey"))
     return contracts.fact_starts(rows, ["l_suppkey", "l_returnflag", "l_linestatus"], "l_partkey", "nth")
 
 

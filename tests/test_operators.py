@@ -66,9 +66,12 @@ def test_bus_window_has_lag_and_limit(spark):
     assert [r["version"] for r in out.collect()] == [3]
 
 
-def test_anneal_decays_and_recovers(spark):
-    got = one(spark, bus.anneal(F.array(*[F.lit(x) for x in (0.1, 0.9, 0.9, 0.1)]), 1.0))
-    assert [round(x, 3) for x in got] == [1.0, 0.6, 0.65, 0.39]
+def test_anneal_decays_waits_and_recovers(spark):
+    step = lambda score, triggered, emitted: F.struct(F.lit(score).alias("score"), F.lit(triggered).alias("triggered"), F.lit(emitted).alias("emitted"))
+    steps = F.array(step(0.9, False, True), step(0.1, False, True), step(0.9, False, False), step(0.9, False, False), step(0.1, True, False), step(0.9, True, True))
+    got = one(spark, bus.anneal(steps, 1.0, 0.5))
+    assert got == pytest.approx([1.0, 0.6, 0.6, 0.65, 0.65, 0.39])
+    assert one(spark, bus.anneal(F.slice(steps, 1, 0), 1.0, 0.5)) == []
 
 
 def test_split_is_a_partition_and_rounds_half_to_even(spark):
