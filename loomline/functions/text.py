@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space of any kind.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def falsy(text: Column) -> Column:
@@ -70,11 +74,15 @@ def flat_sections(sections: Column) -> Column:
     return F.array_join(F.transform(sections, lambda s: F.coalesce(falsy(s["text"]), s["content"], F.lit(""))), "\n\n")
 
 
-def trim_tail(text: Column, titles: tuple[str, ...] = ("References", "External links", "See also", "Further reading", "Notes"), share: float = 0.4) -> Column:
-    """text up to its first closing section's heading, if that comes after `share` of it."""
-    pattern = r"(?mi)^=+\s*(" + "|".join(titles) + r")\s*=+\s*$"
-    at = F.regexp_instr(text, F.lit(pattern))
-    return F.when((at > 0) & (at - 1 >= F.length(text) * share), F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"(?U)\s+$", "")).otherwise(text)
+# Titles of closing sections, on a line of their own.
+CLOSING = ("references", "see also", "external links", "further reading", "notes", "bibliography", "sources", "citations", "updates")
+
+
+def trim_tail(text: Column, titles: tuple[str, ...] = CLOSING, share: float = 0.4) -> Column:
+    """text, stripped, up to its first closing section, if that comes after `share` of it; empty for null."""
+    plain = strip(F.coalesce(text, F.lit("")))
+    at = F.regexp_instr(plain, F.lit(r"(?iU)\n\s*(?:" + "|".join(titles) + r")\s*\n")) - 1
+    return F.when((at >= 0) & (at >= F.floor(F.length(plain) * share)), F.regexp_replace(F.substring(plain, F.lit(1), at), r"(?U)\s+$", "")).otherwise(plain)
 
 
 def paragraphs(text: Column) -> Column:
@@ -149,7 +157,7 @@ def aliases(text: Column) -> Column:
     """A JSON list, or parts between pipes, semicolons and slashes; ordered and without repeats."""
     listed = F.from_json(text, "array<string>")
     parts = F.split(text, r"[|;/]")
-    found = F.when(F.trim(text).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(parts)
+    found = F.coalesce(F.when(text.startswith("[") & text.endswith("]"), listed), parts)
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 

@@ -13,45 +13,71 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(check, F.lit(reason)) for check, reason in checks])
 
 
-def survey_checks(body: Column, title: Column, chars=(200, 20_000), tokens=(20, 6_000), control=0.01, non_latin=0.2) -> Column:
-    """The survey cascade, cheap checks first."""
-    head = F.lower(F.substring(body, 1, 512))
-    vague = head.contains("disambiguation") | head.contains("may refer to") | F.lower(title).startswith("list of")
+#: Bytes of a record as JSON.
+MOST_BYTES = 5 << 20
+#: Tokens that a chat message costs besides its text.
+OVERHEAD = 4
+
+
+def _vague(title: Column, body: Column) -> Column:
+    name = F.lower(text.strip(F.coalesce(text.falsy(title), F.lit("Untitled"))))
+    return name.startswith("list of") | name.endswith("(disambiguation)") | F.contains(F.lower(F.substring(body, 1, 512)), F.lit("may refer to"))
+
+
+def _json_bytes(**fields: Column) -> Column:
+    """Bytes of the fields as JSON with a blank after each comma and colon."""
+    return F.octet_length(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))) + (2 * len(fields) - 1)
+
+
+def survey_checks(body: Column, title: Column, chars=(10_000, 30_000), tokens=(200, 25_000), most_total: int = 100_000, control=0.01, non_latin=0.3, most_bytes: int = MOST_BYTES, prompt_tokens: int = 0, count: Column | None = None) -> Column:
+    """The survey cascade, cheap checks first. body is to be stripped; prompt_tokens: what the prompt has besides title and body;
+    count: the body's tokens, if a column has them."""
+    body = F.coalesce(body, F.lit(""))
+    name = text.strip(F.coalesce(text.falsy(title), F.lit("Untitled")))
+    count = text.token_count(body) if count is None else count
+    total = count + text.token_count(name) + (prompt_tokens + 2 * OVERHEAD)
     return first_reason(
-        (F.coalesce(F.trim(body), F.lit("")) == "", "missing_text"),
-        (F.length(body) > chars[1], "too_many_chars"), (F.length(body) < chars[0], "too_few_chars"),
-        (text.token_count(body) > tokens[1], "too_many_tokens"), (text.token_count(body) < tokens[0], "too_few_tokens"),
-        (text.has_nul(body), "nul"), (text.control_ratio(body) > control, "control_chars"),
-        (text.non_latin_ratio(body) > non_latin, "non_latin_ratio_exceeded"), (vague, "vague_article"),
+        (body == "", "missing_article_text"), (F.length(body) > chars[1], "article_chars_above_max"), (F.length(body) < chars[0], "article_chars_below_min"),
+        (count > tokens[1], f"article_tokens>{tokens[1]}"), (count < tokens[0], "article_too_short"),
+        (text.has_nul(body), "contains_nul"), (text.control_ratio(body) > control, "control_ratio_exceeded"), (text.non_latin_ratio(body) > non_latin, "non_latin_ratio_exceeded"),
+        (_vague(title, body), "disambiguation_filter"), (total > most_total, f"total_tokens>{most_total}"), (_json_bytes(title=name, article_text=body) > most_bytes, "json_bytes_exceeded"),
     )
 
 
-def qa_checks(question: Column, context: Column, answer: Column, chars=(20, 20_000), non_latin=0.2) -> Column:
-    """The question cascade."""
+def qa_checks(question: Column, context: Column, question_tokens=(1, 512), context_tokens=(20, 3_000), most_total: int = 8_192, control=0.01, non_latin=0.3, most_bytes: int = MOST_BYTES, prompt_tokens: int = 0) -> Column:
+    """The question cascade; both texts are to be stripped."""
+    question, context = F.coalesce(question, F.lit("")), F.coalesce(context, F.lit(""))
+    asked, given = text.token_count(question), text.token_count(context)
+    total = asked + given + (prompt_tokens + 2 * OVERHEAD)
     return first_reason(
-        (F.coalesce(F.trim(question), F.lit("")) == "", "missing_question"), (F.coalesce(F.trim(context), F.lit("")) == "", "missing_context"),
-        (F.coalesce(F.trim(answer), F.lit("")) == "", "missing_answer"), (F.length(context) > chars[1], "context_too_long"), (F.length(context) < chars[0], "context_too_short"),
-        (~F.contains(context, answer), "answer_not_in_context"), (text.has_nul(context), "nul"), (text.control_ratio(context) > 0.01, "control_chars"),
-        (text.non_latin_ratio(context) > non_latin, "non_latin_ratio_exceeded"),
+        (question == "", "missing_question"), (context == "", "missing_context"), (text.has_nul(question) | text.has_nul(context), "contains_nul"),
+        (asked > question_tokens[1], f"question_tokens>{question_tokens[1]}"), (given > context_tokens[1], f"context_tokens>{context_tokens[1]}"),
+        (given < context_tokens[0], "context_too_short"), (asked < question_tokens[0], "question_too_short"),
+        (text.control_ratio(F.concat(question, context)) > control, "control_ratio_exceeded"), (text.non_latin_ratio(context) > non_latin, "non_latin_ratio_exceeded"),
+        (total > most_total, f"total_tokens>{most_total}"), (_json_bytes(question=question, context=context) > most_bytes, "json_bytes_exceeded"),
     )
 
 
-def maths_checks(question: Column, answer: Column, most_tokens: int = 512) -> Column:
-    """The cascade for short reasoning tasks."""
+def maths_checks(question: Column, answer: Column, most_question: int = 1_500, most_answer: int = 256, most_total: int = 8_192, control=0.01, non_latin=0.3, prompt_tokens: int = 0) -> Column:
+    """The cascade for short reasoning tasks; answer is JSON."""
+    question, answer = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit("null"))
+    asked, given = text.token_count(question), text.token_count(answer)
     return first_reason(
-        (F.coalesce(F.trim(question), F.lit("")) == "", "missing_question"), (F.coalesce(F.trim(answer), F.lit("")) == "", "missing_answer"),
-        (text.token_count(question) > most_tokens, "too_many_tokens"), (text.has_nul(question), "nul"), (text.control_ratio(question) > 0.01, "control_chars"),
+        (question == "", "missing_question"), (text.has_nul(question) | text.has_nul(answer), "contains_nul"),
+        (asked > most_question, f"question_tokens>{most_question}"), (given > most_answer, f"answer_tokens>{most_answer}"),
+        (text.control_ratio(F.concat(question, answer)) > control, "control_ratio_exceeded"), (text.non_latin_ratio(F.concat_ws(" ", question, answer)) > non_latin, "non_latin_ratio_exceeded"),
+        (asked + given + (prompt_tokens + 2 * OVERHEAD) > most_total, f"total_tokens>{most_total}"),
     )
 
 
-def screened(rows: DataFrame, reason: Column, body: str, order: str) -> DataFrame:
+def screened(rows: DataFrame, reason: Column, body: str, order: str, duplicate: str = "duplicate_article") -> DataFrame:
     """rows with `reason`; of those that pass, all but the first in order with the same normalised text are duplicates."""
     marked = rows.withColumn("reason", reason)
     # Only digests of passing rows are dealt out; partial aggregation keeps a hot digest small.
     firsts = marked.filter("reason is null").groupBy(hashing.text_digest(F.col(body)).alias("digest")).agg(F.min(order).alias("first"))
     out = marked.withColumn("digest", F.when(F.col("reason").isNull(), hashing.text_digest(F.col(body))))
     out = out.join(firsts, "digest", "left")
-    return out.withColumn("reason", F.coalesce("reason", F.when(F.col(order) > F.col("first"), "duplicate_text"))).drop("first")
+    return out.withColumn("reason", F.coalesce("reason", F.when(F.col(order) > F.col("first"), duplicate))).drop("first")
 
 
 def report(marked: DataFrame, domain: str) -> DataFrame:

@@ -17,23 +17,28 @@ from loomline.streaming import bus as stream_bus
 # Screening
 
 _REASON = r"""
-CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing_text' WHEN length(text) > 20000 THEN 'too_many_chars' WHEN length(text) < 200 THEN 'too_few_chars'
- WHEN len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) > 6000 THEN 'too_many_tokens' WHEN len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) < 20 THEN 'too_few_tokens'
- WHEN contains(text, chr(0)) THEN 'nul'
- WHEN len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) / greatest(length(text), 1) > 0.01 THEN 'control_chars'
- WHEN len(regexp_extract_all(text, '\pL')) > 0 AND (len(regexp_extract_all(text, '\pL')) - len(regexp_extract_all(text, '[A-Za-z]'))) / len(regexp_extract_all(text, '\pL')) > 0.05 THEN 'non_latin_ratio_exceeded'
- WHEN contains(lower(substr(text, 1, 512)), 'disambiguation') OR contains(lower(substr(text, 1, 512)), 'may refer to') OR starts_with(lower(source), 'list of') THEN 'vague_article' END
+CASE WHEN body = '' THEN 'missing_article_text' WHEN length(body) > 20000 THEN 'article_chars_above_max' WHEN length(body) < 200 THEN 'article_chars_below_min'
+ WHEN tokens > 2600 THEN 'article_tokens>2600' WHEN tokens < 40 THEN 'article_too_short' WHEN contains(body, chr(0)) THEN 'contains_nul'
+ WHEN len(regexp_extract_all(body, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) / greatest(length(body), 1) > 0.01 THEN 'control_ratio_exceeded'
+ WHEN letters > 0 AND (letters - len(regexp_extract_all(body, '[A-Za-z]'))) / letters > 0.05 THEN 'non_latin_ratio_exceeded'
+ WHEN starts_with(lower(title), 'list of') OR ends_with(lower(title), '(disambiguation)') OR contains(lower(substr(body, 1, 512)), 'may refer to') THEN 'disambiguation_filter'
+ WHEN tokens + len(regexp_extract_all(title, '[^ \t\n\x0B\f\r]+')) + 8 > 2400 THEN 'total_tokens>2400'
+ WHEN octet_length(encode(to_json({'title': title, 'article_text': body})::VARCHAR)) + 3 > 12000 THEN 'json_bytes_exceeded' END
 """
 _MARKED = f"""
-WITH checked AS (SELECT doc_id, lang, text, {_REASON} AS reason FROM documents),
+WITH plain AS (SELECT doc_id, lang, text, regexp_replace(regexp_replace(coalesce(text, ''), '^[\\s\\x0B]+', ''), '[\\s\\x0B]+$', '') AS body, trim(coalesce(nullif(source, ''), 'Untitled')) AS title FROM documents),
+sized AS (SELECT *, len(regexp_extract_all(body, '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens, len(regexp_extract_all(body, '\\pL')) AS letters FROM plain),
+checked AS (SELECT doc_id, lang, text, {_REASON} AS reason FROM sized),
 digests AS (SELECT *, CASE WHEN reason IS NULL THEN substr(sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')), 1, 16) END AS digest FROM checked),
-marked AS (SELECT doc_id, lang, digest, coalesce(reason, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY digest) THEN 'duplicate_text' END) AS reason FROM digests)
+marked AS (SELECT doc_id, lang, digest, coalesce(reason, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY digest) THEN 'duplicate_article' END) AS reason FROM digests)
 """
 
 
 def _screened(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents")
-    return screen.screened(docs, screen.survey_checks(F.col("text"), F.col("source"), non_latin=0.05), "text", "doc_id")
+    docs = t(spark, sf_dir, "documents").withColumn("body", text.strip(F.col("text")))
+    docs = docs.withColumn("tokens", text.token_count(F.col("body")))
+    checks = screen.survey_checks(F.col("body"), F.col("source"), (200, 20_000), (40, 2_600), 2_400, non_latin=0.05, most_bytes=12_000, count=F.col("tokens"))
+    return screen.screened(docs, checks, "body", "doc_id").drop("body", "tokens")
 
 
 @query(_MARKED + "SELECT lang AS domain, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM marked GROUP BY 1, 2")
@@ -52,16 +57,20 @@ def a9_until_quota(spark, sf_dir):
     return screen.until_quota(_screened(spark, sf_dir), "lang", "doc_id", 25).select("doc_id", "lang", "accepted")
 
 
-@query("""SELECT item_id, CASE WHEN length(text) > 20000 THEN 'context_too_long' WHEN length(text) < 20 THEN 'context_too_short'
- WHEN NOT contains(text, split_part(text, ' ', 2)) THEN 'answer_not_in_context' END AS reason FROM benchmark""")
+_TOKENS = "len(regexp_extract_all({}, '[^ \\t\\n\\x0B\\f\\r]+'))"
+
+
+@query(f"""WITH b AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN '' ELSE substr(text, 1, 40 + item_id) END AS q, text AS c FROM benchmark), n AS (SELECT *, {_TOKENS.format('q')} AS a, {_TOKENS.format('c')} AS g, len(regexp_extract_all(c, '\\pL')) AS l FROM b)
+SELECT item_id, CASE WHEN trim(q) = '' THEN 'missing_question' WHEN a > 12 THEN 'question_tokens>12' WHEN g > 60 THEN 'context_tokens>60' WHEN g < 10 THEN 'context_too_short'
+ WHEN l > 0 AND (l - len(regexp_extract_all(c, '[A-Za-z]'))) / l > 0.04 THEN 'non_latin_ratio_exceeded' WHEN a + g + 8 > 55 THEN 'total_tokens>55' END AS reason FROM n""")
 def p8_question_screen(spark, sf_dir):
-    b = t(spark, sf_dir, "benchmark")
-    return b.select("item_id", screen.qa_checks(F.col("text"), F.col("text"), F.split_part("text", F.lit(" "), F.lit(2))).alias("reason"))
+    question = F.when(F.col("item_id") % 9 == 0, "").otherwise(F.substring("text", F.lit(1), (F.col("item_id") + 40).cast("int")))
+    return t(spark, sf_dir, "benchmark").select("item_id", screen.qa_checks(question, F.col("text"), (1, 12), (10, 60), 55, non_latin=0.04).alias("reason"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'missing_question' WHEN len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) > 60 THEN 'too_many_tokens' END AS reason FROM conversations""")
+@query(f"""SELECT conv_id, turn, CASE WHEN text = '' THEN 'missing_question' WHEN {_TOKENS.format('text')} > 60 THEN 'question_tokens>60' WHEN {_TOKENS.format('text')} + 9 > 50 THEN 'total_tokens>50' END AS reason FROM conversations""")
 def p9_maths_screen(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", screen.maths_checks(F.col("text"), F.col("role"), 60).alias("reason"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", screen.maths_checks(F.col("text"), F.col("role"), 60, most_total=50, non_latin=1.0).alias("reason"))
 
 
 @query("""WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'ok' END AS label, CASE WHEN quality = 0 AND toxic = 1 THEN 'Rate limit hit' WHEN quality = 0 THEN 'broken' END AS error FROM labels)

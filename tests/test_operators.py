@@ -100,8 +100,9 @@ def test_templates_and_json(spark):
 
 
 def test_headings_and_tail(spark):
-    body = "x" * 60 + "\n== References ==\nfoo"
+    body = "x" * 60 + "\n References \nfoo"
     assert one(spark, text.trim_tail(F.lit(body))) == "x" * 60
+    assert one(spark, text.trim_tail(F.lit("a\nNotes\n" + body))) == "a\nNotes\n" + body
     assert one(spark, text.headings(F.lit("== One ==\ntext\n=== Two ==="))) == ["One", "Two"]
 
 
