@@ -22,13 +22,14 @@ def falsy(text: Column) -> Column:
 
 def control_ratio(text: Column) -> Column:
     """Share of control characters other than tab, line feed and carriage return."""
-    return F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")) / F.greatest(F.length(text), F.lit(1))
+    return F.length(F.regexp_replace(text, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]+", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def non_latin_ratio(text: Column) -> Column:
     """Share of letters that are not ASCII; 0 without letters."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.when(letters > 0, (letters - F.regexp_count(text, F.lit("[A-Za-z]"))) / letters).otherwise(F.lit(0.0))
+    letters = F.regexp_replace(text, r"\P{L}+", "")
+    foreign = F.length(F.regexp_replace(letters, r"[A-Za-z]+", ""))
+    return F.coalesce(F.try_divide(foreign, F.length(letters)), F.when(text.isNotNull(), 0.0))
 
 
 def has_nul(text: Column) -> Column:
@@ -41,8 +42,8 @@ def digest_form(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Runs without white space: the default of a tokenizer that may be put in its place."""
-    return F.regexp_count(text, F.lit(r"\S+"))
+    """Runs without ASCII white space: the default of a tokenizer that may be put in its place."""
+    return F.length(F.regexp_replace(F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")), r"\S+\s*", "x"))
 
 
 def chat_tokens(system: Column, user: Column, overhead: int = 4) -> Column:
