@@ -83,7 +83,7 @@ def test_split_is_a_partition_and_rounds_half_to_even(spark):
 def test_screen_keeps_the_first_of_equal_texts(spark):
     rows = spark.createDataFrame([(3, "A  b c"), (1, "a b C"), (2, "")], "i int, t string")
     out = screen.screened(rows, screen.first_reason((F.col("t") == "", "empty")), "t", "i")
-    assert {r["i"]: r["reason"] for r in out.collect()} == {1: None, 2: "empty", 3: "duplicate_text"}
+    assert {r["i"]: r["reason"] for r in out.collect()} == {1: None, 2: "empty", 3: "duplicate_article"}
 
 
 def test_non_latin_screen(spark):
