@@ -73,10 +73,12 @@ def maths_checks(question: Column, answer: Column, most_question: int = 1_500, m
 def screened(rows: DataFrame, reason: Column, body: str, order: str, duplicate: str = "duplicate_article") -> DataFrame:
     """rows with `reason`; of those that pass, all but the first in order with the same normalised text are duplicates."""
     marked = rows.withColumn("reason", reason)
-    # Only digests of passing rows are dealt out; partial aggregation keeps a hot digest small.
-    firsts = marked.filter("reason is null").groupBy(hashing.text_digest(F.col(body)).alias("digest")).agg(F.min(order).alias("first"))
     out = marked.withColumn("digest", F.when(F.col("reason").isNull(), hashing.text_digest(F.col(body))))
-    out = out.join(firsts, "digest", "left")
+    # Keys are never null: no filter is inferred that would work the reason out again, and rejected rows, which have
+    # no digest, are spread by their order. Partial aggregation keeps a hot digest small.
+    firsts = out.groupBy(F.coalesce("digest", F.lit("")).alias("__key")).agg(F.min(order).alias("first"))
+    own = F.coalesce(F.col("digest"), F.concat(F.lit("-"), F.coalesce(F.col(order).cast("string"), F.lit(""))))
+    out = out.withColumn("__key", own).join(firsts, "__key", "left").drop("__key")
     return out.withColumn("reason", F.coalesce("reason", F.when(F.col(order) > F.col("first"), duplicate))).drop("first")
 
 
