@@ -2,7 +2,9 @@
 
 Equal vectors are one node from the start, with the smallest ids of its rows as members, so that a vector that
 fills a third of the table is searched once. For the graph, vectors get one more component that gives all the
-same length, which turns the largest inner product into the nearest direction, and are kept as 8-bit codes.
+same length, which turns the largest inner product into the least distance, and are kept as float32 components.
+Distances and products are worked out from these in double precision, so that neither one very long vector nor a
+large cluster of near but unequal ones blurs the order; a distance is kept as float32, a beam's product as double.
 
 Building. Some nodes, PIVOTS[1] at most, are broadcast as pivots; each node goes to the cells of its nearest pivots, cells
 are cut into blocks of at most CELL nodes, and a block's nodes are compared with each other. From there on
@@ -103,14 +105,23 @@ def best_of(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def encode(x: np.ndarray) -> np.ndarray:
-    """Unit vectors as one byte a component."""
-    return np.clip(np.rint(x * 127), -127, 127).astype(np.int8)
+    """Vectors as float32 components."""
+    return x.astype(np.float32)
+
+
+def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of a to those of b, below zero: they keep their precision where they are small."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    s = 2 * (a @ np.swapaxes(b, -1, -2))
+    s -= (a * a).sum(axis=-1)[..., :, None]
+    s -= (b * b).sum(axis=-1)[..., None, :]
+    return s.astype(np.float32)
 
 
 def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     bounds = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1, arr.offset * 4)
-    return np.frombuffer(arr.buffers()[2], np.int8)[bounds[0] : bounds[-1]].reshape(len(arr), -1).astype(np.float32) / 127
+    return np.frombuffer(arr.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.float32).reshape(len(arr), -1)
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -174,7 +185,7 @@ def _start(coded: DataFrame, pivots: np.ndarray, degree: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = _codes(batch.column(1))
-                near = best_of(x @ shared.value.T, CELLS)
+                near = best_of(closeness(x, shared.value), CELLS)
                 at = np.repeat(np.arange(len(x)), near.shape[1])
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), *part.columns], names=dealt.names)
@@ -189,7 +200,7 @@ def _start(coded: DataFrame, pivots: np.ndarray, degree: int) -> DataFrame:
         for table in groups(batches, "block"):
             node, x = table["node"].to_numpy(), _codes(table["code"])
             for at in range(0, len(node), 512):
-                s = x[at : at + 512] @ x.T
+                s = closeness(x[at : at + 512], x)
                 own = node[at : at + 512]
                 s[own[:, None] == node] = -9
                 best = best_of(s, min(degree, len(node) - 1))
@@ -256,7 +267,7 @@ def _descend(graph: DataFrame, coded: DataFrame, degree: int) -> DataFrame:
                 grid = np.zeros((hi - lo, width, x.shape[1]), np.float32)
                 ids, new, low = np.full((hi - lo, width), -1), np.zeros((hi - lo, width), bool), np.full((hi - lo, width), 9, np.float32)
                 grid[o, p], ids[o, p], new[o, p], low[o, p] = x[a:b], member[a:b], fresh[a:b], worst[a:b]
-                s = grid @ grid.transpose(0, 2, 1)
+                s = closeness(grid, grid)
                 real = np.arange(width) < np.bincount(o, minlength=hi - lo)[:, None]
                 good = (s > low[:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :]
                 good[:, np.arange(width), np.arange(width)] = False
@@ -276,7 +287,7 @@ def _descend(graph: DataFrame, coded: DataFrame, degree: int) -> DataFrame:
     return _merged(stale.unionByName(rows.mapInArrow(compare, _EDGES)), degree)
 
 
-_STATE = T.StructType([T.StructField("query", T.LongType()), T.StructField("q", T.BinaryType()), T.StructField("beam", T.ArrayType(T.LongType())), T.StructField("score", T.ArrayType(T.FloatType())), T.StructField("open", T.ArrayType(T.LongType())), T.StructField("opened", T.ArrayType(T.LongType()))])
+_STATE = T.StructType([T.StructField("query", T.LongType()), T.StructField("q", T.BinaryType()), T.StructField("beam", T.ArrayType(T.LongType())), T.StructField("score", T.ArrayType(T.DoubleType())), T.StructField("open", T.ArrayType(T.LongType())), T.StructField("opened", T.ArrayType(T.LongType()))])
 
 
 def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
@@ -288,8 +299,8 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, rounds: i
         ids, pivots = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float32)
-                s = x @ pivots[:, :-1].T
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                s = x @ pivots[:, :-1].T.astype(np.float64)
                 best = best_of(s, OPEN)
                 cuts = np.arange(len(x) + 1) * best.shape[1]
                 yield _state(batch.column(0).to_numpy(), x, ids[best].ravel(), np.take_along_axis(s, best, 1).ravel(), cuts, [[]] * len(x), beam)
@@ -324,7 +335,7 @@ def _state(query: np.ndarray, x: np.ndarray, near: np.ndarray, score: np.ndarray
         rest = own[~np.isin(own, opened[i])][:OPEN]
         for name, value in zip(_STATE.names, (int(query[i]), x[i].tobytes(), own, s, rest, np.concatenate([np.asarray(opened[i], np.int64), rest])), strict=True):
             rows[name].append(value)
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(_STATE.names, kinds, strict=True)], names=_STATE.names)
 
 
@@ -346,13 +357,13 @@ def _open(state: DataFrame, around: DataFrame, coded: DataFrame, beam: int) -> D
             ends = np.concatenate([starts[1:], [len(query)]])
             xs, near, score, cuts, opened = [], [], [], [0], []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                x = np.frombuffer(table["q"][a].as_py(), np.float32)
+                x = np.frombuffer(table["q"][a].as_py(), np.float64)
                 held, s = table["beam"][a].values.to_numpy(), table["score"][a].values.to_numpy()
                 xs.append(x)
                 if b > a + 1:
                     part = table.slice(a + 1, b - a - 1)
                     held = np.concatenate([held, part["node"].to_numpy()])
-                    s = np.concatenate([s, _codes(part["code"])[:, :-1] @ x])
+                    s = np.concatenate([s, _codes(part["code"])[:, :-1].astype(np.float64) @ x])
                 near.append(held)
                 score.append(s)
                 cuts.append(cuts[-1] + len(held))

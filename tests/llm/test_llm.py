@@ -169,6 +169,26 @@ def test_nearest_recall_and_equal_vectors(spark):
     assert ann.nearest(table.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one long vector", "cluster"])
+def test_nearest_recall_of_uneven_vectors(spark, kind):
+    rnd = np.random.default_rng(7)
+    m = rnd.normal(size=(2000, 16))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    if kind == "cluster":
+        m[500:1500] = m[1] + m[500:1500] * 1e-3
+    else:
+        m[3] *= 100
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("id") % 40 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    hits = {q: len(got[q] & {*np.argsort(-s[q])[:20].tolist()}) / 20 for q in range(0, 2000, 40)}
+    assert np.mean([*hits.values()]) >= 0.9
+    assert np.mean([h for q, h in hits.items() if 500 <= q < 1500]) >= 0.9
+
+
 def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     if not words:
