@@ -121,6 +121,14 @@ def m4_softmax_kl(spark, sf_dir):
     return rows.select("vec_id", F.round(sup.softmax_kl(F.col("e"), F.reverse("e"), 2.0), 5).alias("kl"))
 
 
+@query("""WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS p, [x::DOUBLE FOR x IN list_reverse(embedding)] AS q FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT vec_id, unnest(p) / 2 AS p, unnest(q) / 2 AS q FROM v), z AS (SELECT vec_id, ln(sum(exp(p))) AS zp, ln(sum(exp(q))) AS zq FROM l GROUP BY 1)
+SELECT vec_id, round(4 * sum(exp(p - zp) * ((p - zp) - (q - zq))), 5) AS kl FROM l JOIN z USING (vec_id) GROUP BY 1""")
+def m4_softmax_kl_all(spark, sf_dir):
+    rows = t(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return rows.select("vec_id", F.round(sup.softmax_kl(F.col("e"), F.reverse("e"), 2.0), 5).alias("kl"))
+
+
 @query("""SELECT event_type, round(coalesce(sum(value) FILTER (event_id % 3 = 0), 0) / greatest(count(*) FILTER (event_id % 3 = 0), 1), 6) AS loss FROM events GROUP BY 1""")
 def m6_masked_mean(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy("event_type").agg(r6(sup.masked_mean(F.col("value"), F.col("event_id") % 3 == 0)).alias("loss"))

@@ -113,3 +113,11 @@ def test_vectors(spark):
     assert one(spark, vectors.nucleus(v, 1, 0.4)) == [1]
     assert one(spark, vectors.commit_mask(F.lit(3), 5, 2)) == [0, 1, 1, 0, 0]
     assert one(spark, vectors.pad(F.array(F.lit(1)), 3, 0)) == [1, 0, 0]
+
+
+def test_softmax_kl_covers_every_embedding(spark, sf):
+    from loomline.plans import catalog
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").filter("embedding is not null")
+    got = {r["vec_id"] for r in catalog.QUERIES["m4_softmax_kl_all"](spark, sf).collect()}
+    assert got == {r["vec_id"] for r in rows.select("vec_id").collect()}
