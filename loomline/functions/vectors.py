@@ -70,8 +70,11 @@ def pad(a: Column, size: int, value) -> Column:
 
 
 def cadence(rho: Column, fastest: float, slowest: float) -> Column:
-    """Steps between emissions for a rate in [0, 1], even on a logarithmic scale; larger values are steps already."""
-    log = F.ceil(F.exp(rho * F.log(F.lit(fastest)) + (1 - rho) * F.log(F.lit(slowest))))
+    """Steps between emissions for a rate in [0, 1], even on a logarithmic scale; larger values are steps already.
+
+    What is an integer but for rounding is that integer.
+    """
+    log = F.ceil(F.exp(rho * F.log(F.lit(fastest)) + (1 - rho) * F.log(F.lit(slowest))) * (1 - 1e-12))
     return F.when(rho.between(0, 1), log).otherwise(F.bround(rho).cast("long"))
 
 

@@ -220,6 +220,13 @@ def m7_cadence(spark, sf_dir):
     return rows.select("event_id", vectors.cadence(rho, 2.0, 16.0).alias("steps"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 30 > 1 THEN event_id % 30 ELSE ceil(exp((event_id % 10) / 10 * ln(2) + (1 - (event_id % 10) / 10) * ln(16)) - 1e-9) END::BIGINT AS steps FROM events")
+def m7_cadence_all(spark, sf_dir):
+    n = F.col("event_id")
+    rho = F.when(n % 3 == 0, (n % 30).cast("double")).otherwise((n % 10) / 10)
+    return t(spark, sf_dir, "events").select("event_id", vectors.cadence(rho, 2.0, 16.0).alias("steps"))
+
+
 @query("SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('task:' || doc_id || ':3'), 1, 16), doc_id) AS r FROM documents WHERE n_chars >= 400) WHERE r <= 40")
 def s2_s8_task_sample(spark, sf_dir):
     return screen.task_sample(t(spark, sf_dir, "documents").filter("n_chars >= 400"), "lang", "doc_id", 40, "task", 3).select("doc_id")

@@ -121,3 +121,13 @@ def test_softmax_kl_covers_every_embedding(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").filter("embedding is not null")
     got = {r["vec_id"] for r in catalog.QUERIES["m4_softmax_kl_all"](spark, sf).collect()}
     assert got == {r["vec_id"] for r in rows.select("vec_id").collect()}
+
+
+def test_cadence_at_exact_integers(spark, sf):
+    from loomline.plans import catalog
+
+    one = spark.range(1)
+    for slowest in range(2, 65):
+        got = one.select(vectors.cadence(F.lit(0.0), 2.0, float(slowest)), vectors.cadence(F.lit(1.0), float(slowest), 64.0)).first()
+        assert tuple(got) == (slowest, slowest)
+    assert catalog.QUERIES["m7_cadence_all"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
