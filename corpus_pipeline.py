@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, jaccard, langid, mixing, quality
@@ -37,15 +37,23 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each group of near copies; rows that repeat a doc_id are copies too."""
-    found = saved(jaccard.join(docs, SHINGLE, ALIKE).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__root")))
-    copies = saved(found.filter("__id <> __root").select("__id").distinct())
-    kept = docs.join(small_side(copies), F.col("doc_id") == F.col("__id"), "left_anti")
-    if found.filter("__id = __root").groupBy("__id").count().filter("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        first = kept.withColumn("__nth", F.row_number().over(order)).filter((F.col("__nth") == 1) | F.col("doc_id").isNull())
-        kept = first.select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept
+    """One row of each group of near copies: that of least doc_id, nulls last, then of least hash of doc_id and text.
+
+    A row is known by that hash: a doc_id may have several texts, or be null. Rows alike in doc_id and text are one.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    ids = saved(rows.groupBy("__row").agg(F.first("doc_id").alias("__id"), F.count(F.lit(1)).alias("__times")))
+    again = saved(ids.filter("__times > 1").select("__row"))
+    if again.limit(1).count():
+        once = rows.join(small_side(again), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*names)).alias("__first"))
+        rows = saved(rows.join(small_side(again), "__row", "left_anti").select("__row", *names).unionByName(once.select("__row", "__first.*")))
+    found = jaccard.join(rows, SHINGLE, ALIKE, key="__row").filter("n_shingles > 0")
+    placed = saved(found.join(ids, "__row").select("__row", "__id", F.col("component_id").alias("__root")))
+    best = placed.groupBy("__root").agg(F.count(F.lit(1)).alias("__size"), F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__best"))
+    best = saved(best.filter("__size > 1").select("__root", F.col("__best.__row").alias("__kept")))
+    copies = saved(placed.join(small_side(best), "__root").filter("__row <> __kept").select("__row"))
+    return rows.join(small_side(copies), "__row", "left_anti").select(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,3 +299,17 @@ def test_pipeline_stages(spark, sf, docs):
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies(kept[3]).collect()}
     assert sorted(r["doc_id"] for r in mixed) == sorted(i for i, n in copies.items() for _ in range(n))
     assert corpus_pipeline.run(spark, sf).count() == len(mixed)
+
+
+def test_near_copies_are_dropped_by_row(spark, sf):
+    import corpus_pipeline
+
+    def text(letter, changed=False):
+        return " ".join("other" if changed and i == 30 else f"{letter}{i}" for i in range(60))
+
+    rows = [(1, text("a")), (2, text("a", True)), (2, text("b")), (3, text("b")), (4, text("c")), (4, text("d")), (None, text("e")), (None, text("e", True)), (None, text("f")), (5, text("f")), (6, text("g")), (6, text("g")), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, x, "s") for i, x in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, "a"), (2, "b"), (4, "c"), (4, "d"), (None, "e"), (5, "f"), (6, "g"), (7, "-"), (8, "-")], key=str)
