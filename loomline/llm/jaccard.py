@@ -9,17 +9,24 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a t
    floor(2 (1 - t) n) pairs of a set are missing from the other, so the first floor(2 (1 - t) n) + 1 pairs of both
    sets, their order being global too, have a pair in common: no linked pair of sets is lost. A run of nodes with
    a pair in common is cut where sizes fall apart by more than t, and each rest becomes a star around its
-   least node. Frequent shingles come last, so that a passage shared by many documents makes no runs.
-3. Connected components of the stars are groups within which all links lie. A group's sets come together once.
-   If they are more than BUDGET shingles, the group is dealt into blocks, and each pair of blocks is a cell.
+   least node. Frequent shingles come last, so that a passage shared by many documents makes no runs. Nodes with a
+   pair and a class of size in common (sizes in a class are within the root of t) are joined up before the shuffle,
+   and only the smallest and the largest of them go on, so that a pair that a third of all sets have makes a few
+   records a task.
+3. Connected components of the stars are groups within which all links lie. A group's sets come together in
+   a cell. A group of more than BUDGET shingles is dealt into blocks, each a cell; a quarter of a block's worth
+   of the group's sets go to all of its blocks, so that near copies across blocks are joined up by way of them.
+   What is not joined up then, but for the group's largest part, is compared with all of the group, in cells of
+   a block of one against a block of the other.
 4. In a cell, each set searches the sets that are no larger, by T-occurrence with DivideSkip: of the inverted
    lists of its shingles the longest are set aside, the short ones are merged with a heap that skips what can't
    reach the number of occurrences still needed, and what remains is probed for in the long ones by binary
    search. A set found to reach the required overlap is a link.
 5. Links, at most one a node and cell, are joined up to components across cells; the least doc_id names each.
 
-Nothing about all documents comes to the driver. Components, joins and hot nodes go through aggregation before
-the shuffle, and joins by node may be split by adaptive execution.
+Nothing about all documents comes to the driver, and there is one way for all sizes. The sets of groups are found
+by reading the texts again: a filter of fixed size lets the wanted ones pass, and a join by node drops the few
+others that it lets through. Joins by a key that may be hot go by way of `spread_join`.
 
 Defined results: null texts and texts without words have an empty set, and link with nothing. Shorter texts
 than a shingle's words have their whole sequence as one shingle. Rows with a null doc_id are kept, take part, and
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.sparkkit import Table, groups, map_arrow, saved, small_side
+from loomline.llm.sparkkit import Table, groups, key_filter, map_arrow, may_have, saved, spread_join
 from loomline.llm.textkit import mix64, shingles, slices, text_bytes
 
 BITS = 47
@@ -46,7 +53,9 @@ FREQUENT = 1 << 18
 #: Shingles counted together before those met once are let go.
 COUNTED = 1 << 22
 #: Shingles of a group that one task searches.
-BUDGET = 4 << 20
+BUDGET = 1 << 20
+#: Bytes of candidates that one task gets, and so many buckets a task gets them in.
+TASK, BUCKETS = 32 << 20, 4
 #: DivideSkip's weight of a probe against a heap's step.
 MU = 0.0085
 
@@ -123,8 +132,11 @@ def _least(t: Fraction) -> int:
 
 def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> DataFrame:
     """(least, node): edges of stars around the least node of each run of candidates."""
-    posted = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("records", T.BinaryType())])
+    posted = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("records", T.BinaryType()), T.StructField("edges", T.BinaryType())])
     record = np.dtype([("pair", "<u8"), ("node", "<i8"), ("n", "<u4")])
+    buckets = parts * BUCKETS
+    # A class of sizes spans less than the root of t.
+    span = -0.5 * np.log(float(t)) if t < 1 else None
 
     def post():
         order, seen = Order(frequent.value), set()
@@ -150,14 +162,33 @@ def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> Da
                 take = fresh[row] & (within < sizes[row] - 1) & (within <= _missing(t, sizes)[row])
                 mask = np.uint64((1 << BITS + 1) - 1)
                 low, high = first[take] & mask, key[1:][take] & mask
-                out = np.zeros(len(low), record)
-                out["pair"], out["node"], out["n"] = mix64(mix64(low) + high), nodes[row[take]], np.minimum(sizes[row[take]], 0xFFFFFFFF)
-                bucket = (out["pair"] % np.uint64(parts)).astype(np.int32)
-                order_ = np.argsort(bucket, kind="stable")
-                out, bucket = out[order_], bucket[order_]
-                cuts = np.searchsorted(bucket, np.arange(parts + 1))
+                pair, row = mix64(mix64(low) + high), row[take]
+                # By pair, size and node; records of one pair and class of sizes are joined up here.
+                by_size = np.lexsort((nodes, sizes))
+                place = np.empty(len(sizes), np.int64)
+                place[by_size] = np.arange(len(sizes))
+                at = np.lexsort((place[row], pair))
+                pair, row = pair[at], row[at]
+                if not len(row):
+                    continue
+                kind = (np.log(np.maximum(sizes, 1)) / span).astype(np.int64) if span else sizes
+                head = np.concatenate([[True], (pair[1:] != pair[:-1]) | (kind[row[1:]] != kind[row[:-1]])])
+                tail = np.concatenate([head[1:], [True]])
+                lead = np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))
+                inner = ~head & ~tail
+                edges = b""
+                if inner.any():
+                    both = np.unique(row[lead[inner]] * len(sizes) + row[inner])
+                    edges = np.stack([nodes[both // len(sizes)], nodes[both % len(sizes)]], axis=1).tobytes()
+                out = np.zeros(int((~inner).sum()), record)
+                out["pair"], out["node"], out["n"] = pair[~inner], nodes[row[~inner]], np.minimum(sizes[row[~inner]], 0xFFFFFFFF)
+                bucket = (((out["pair"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([out[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())], names=posted.names)
+                blobs = [out[cuts[b] : cuts[b + 1]].tobytes() for b in some]
+                own_edges = [b""] * len(some)
+                own_edges[int(nodes[0]) % len(some)] = edges
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(own_edges, pa.binary())], names=posted.names)
 
         return worker
 
@@ -166,6 +197,7 @@ def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> Da
     def runs(batches):
         for table in groups(batches, "bucket"):
             rows = np.frombuffer(b"".join(table["records"].to_pylist()), record)
+            known = np.frombuffer(b"".join(table["edges"].to_pylist()), np.int64).reshape(-1, 2).T
             order = np.lexsort((rows["n"], rows["pair"]))
             pair, n, node = rows["pair"][order], rows["n"][order].astype(np.int64), rows["node"][order]
             apart = np.concatenate([[True], (pair[1:] != pair[:-1]) | (t.numerator * n[1:] > t.denominator * n[:-1])])
@@ -173,7 +205,7 @@ def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> Da
             length = np.diff(np.concatenate([starts, [len(pair)]]))
             least = np.repeat(np.minimum.reduceat(node, starts), length) if len(starts) else node
             use = np.repeat(length > 1, length) & (node != least) if len(starts) else np.zeros(0, bool)
-            edges = np.unique(np.stack([least[use], node[use]]), axis=1)
+            edges = np.unique(np.concatenate([np.stack([least[use], node[use]]), known], axis=1), axis=1)
             if edges.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=edge.names)
 
@@ -182,50 +214,48 @@ def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> Da
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the least node that each node of an edge is connected with.
+    """(node, root): the least node that each node of an edge is connected with; a saved table.
 
     Alternates large stars and small stars; a node's edges are only ever reduced to their least, by partial
-    aggregation, so that a node with very many edges needs no task of its own.
+    aggregation, and nodes of very many edges meet them by broadcast, so that none needs a task of its own.
     """
     now = Table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     while True:
         both = now.df.select("u", "v").unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = Table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = Table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")).select("u", F.least("u", "m").alias("m"), "edges"))
         # Large star: neighbours that are larger than a node go to the node's least neighbour.
-        large = now.df.join(least.df.withColumnsRenamed({"u": "v", "m": "m"}), "v").select("u", F.col("m").alias("v")).filter("u <> v").distinct()
+        large = spread_join(now.df, least.df.withColumnRenamed("u", "v"), ["v"], "edges").select("u", F.col("m").alias("v")).filter("u <> v").distinct()
         large = Table(large.unionByName(least.df.select("u", F.col("m").alias("v")).filter("u <> v")).distinct())
         # Small star: a node's smaller neighbours, and it itself, go to the least of them.
-        lowest = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.df.join(lowest, "u")
-        after = Table(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        lowest = Table(large.df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")))
+        small = spread_join(large.df, lowest.df, ["u"], "edges").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = Table(small.unionByName(lowest.df.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         moved = after.df.join(now.df, ["u", "v"], "left_anti").limit(1).count() + now.df.join(after.df, ["u", "v"], "left_anti").limit(1).count()
-        for old in (now, least, large):
+        for old in (now, least, large, lowest):
             old.drop()
         now = after
         if not moved:
             roots = now.df.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+            return saved(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
 
 
-def divide_skip(lists: list[np.ndarray], need: int, probe) -> list[tuple[int, int]]:
-    """(id, occurrences) of ids that occur on at least `need` of the ascending lists; probe(list, ids) tells which ids a list has."""
+def divide_skip(lists: list[np.ndarray], need: int, probe) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur on at least `need` of the ascending lists, and how often; probe(list, ids) tells which ids a list has."""
     lists = sorted((x for x in lists if len(x)), key=len)
     if need < 1 or len(lists) < need:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     longest = len(lists[-1])
     aside = min(need - 1, int(need / (MU * np.log2(longest + 1) + 1)))
     short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
     left = need - aside
     found, counts = _merge_skip(short, left)
-    if not len(found) or not aside:
-        return [*zip(found.tolist(), counts.tolist(), strict=True)]
-    for k, x in enumerate(long_):
+    for k, x in enumerate(long_ if len(found) else []):
         counts = counts + probe(x, found)
         keep = counts + (len(long_) - 1 - k) >= need
         found, counts = found[keep], counts[keep]
         if not len(found):
-            return []
-    return [*zip(found.tolist(), counts.tolist(), strict=True)]
+            break
+    return found, counts
 
 
 def _merge_skip(short: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,55 +300,57 @@ def _probe(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (x[at] == ids).astype(np.int64)
 
 
-def search_cell(sets: list[np.ndarray], nodes: np.ndarray, t: Fraction, across: np.ndarray | None = None) -> list[tuple[int, int]]:
+def search_cell(sets: list[np.ndarray], nodes: np.ndarray, t: Fraction, role: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the sets as all links do: (least node, node) for each node that is linked.
 
-    across: the block of each set; if given, only sets of different blocks are compared.
+    role: 0 or 1 for each set; if given, only sets of different roles are compared.
     """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sets, nodes, sizes = [sets[i] for i in order], nodes[order], sizes[order]
-    token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.lexsort((owner, token))
-    token, owner = token[by], owner[by]
-    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    names = token[cuts[:-1]]
-    parent = [*range(len(sets))]
-    side = across[order] if across is not None else None
+    role = np.zeros(len(sets), np.int64) if role is None else role[order].astype(np.int64) + 1
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    indexes = {}
+    for r in np.unique(role).tolist():
+        mine = role[owner] == r
+        by = np.lexsort((owner[mine], token[mine]))
+        names, owners = token[mine][by], owner[mine][by]
+        cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
+        indexes[r] = (names[cuts[:-1]], cuts, owners)
+    parent = np.arange(len(sets))
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
-        return i
+        return int(i)
 
     for i, own in enumerate(sets):
-        smallest = int(np.searchsorted(sizes, -(-t.numerator * int(sizes[i]) // t.denominator)))
-        if smallest >= i:
+        need = -(-t.numerator * int(sizes[i]) // t.denominator)
+        smallest = int(np.searchsorted(sizes, need))
+        other = (0, 2, 1)[role[i]]
+        if smallest >= i or other not in indexes:
             continue
-        at = np.searchsorted(names, own)
+        names, cuts, owners = indexes[other]
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        at = at[names[at] == own]
+        at = at[cuts[at + 1] - cuts[at] > (other == 0)]  # in one index for all, the set's own entry is there
         lists = []
         for a, b in zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True):
-            if b - a == 1:
-                continue  # the set's own entry alone
-            x = owner[a:b]
-            lo, hi = np.searchsorted(x, [smallest, i])
+            x = owners[a:b]
+            lo, hi = x.searchsorted((smallest, i))
             if lo < hi:
                 lists.append(x[lo:hi])
-        need = -(-t.numerator * int(sizes[i]) // t.denominator)
-        for j, shared in divide_skip(lists, need, _probe):
-            if side is not None and side[i] == side[j]:
-                continue
-            if t.denominator * shared >= t.numerator * (int(sizes[i]) + int(sizes[j]) - shared):
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+        found, shared = divide_skip(lists, need, _probe)
+        linked = found[t.denominator * shared >= t.numerator * (sizes[i] + sizes[found] - shared)]
+        if len(linked):
+            met = [root(int(x)) for x in np.unique(parent[linked])]
+            parent[[root(i), *met]] = parent[linked] = min(root(i), *met)
     least: dict[int, int] = {}
     for i in range(len(sets)):
         r = root(i)
         least[r] = min(least.get(r, int(nodes[i])), int(nodes[i]))
-    return [(least[root(i)], int(nodes[i])) for i in range(len(sets)) if int(nodes[i]) != least[root(i)]]
+    return [*{(least[root(i)], int(nodes[i])) for i in range(len(sets)) if int(nodes[i]) != least[root(i)]}]
 
 
 def join(docs: DataFrame, width: int, threshold: Fraction, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
@@ -329,60 +361,102 @@ def join(docs: DataFrame, width: int, threshold: Fraction, text: str = "text", k
     known = survey.filter("kind = 0").select("doc_id", "n", "node")
     top = survey.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node", "n").toArrow()
     frequent = spark.sparkContext.broadcast(top["node"].to_numpy()[::-1].astype(np.uint64))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = saved(_stars(narrow, width, threshold, frequent, parts))
     # A node's set is read again from the least of its documents.
-    nodes = known.filter(F.col("n") >= _least(threshold)).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    grouped = components(edges, "least", "node")
-    members = saved(nodes.join(grouped, "node").select("node", "doc_id", "n", F.col("root").alias("set_group")))
-    weights = saved(members.groupBy("set_group").agg(F.sum("n").alias("total")))
-    cells = members.join(small_side(weights), "set_group").withColumn("blocks", F.ceil(F.col("total") / budget).cast("int"))
-    wanted = saved(cells.select("node", "doc_id", "set_group", "blocks"))
-    both = narrow.alias("d").join(small_side(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.node", "w.set_group", "w.blocks")
-    found = _search(both, width, threshold)
-    roots = components(saved(found), "least", "node")
-    named = known.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
-    named = saved(named)
-    ids = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.join(ids, "root", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
-
-
-def _search(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Links (least, node) found in all cells."""
-    shipped = T.StructType([T.StructField("cell", T.LongType()), T.StructField("node", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("alone", T.BooleanType()), T.StructField("shingles", T.BinaryType())])
+    nodes = saved(known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs")))
+    total = nodes.filter(F.col("n") >= _least(threshold)).agg(F.sum("n")).first()[0] or 0
+    edges = saved(_stars(narrow, width, threshold, frequent, _parts(spark, float(2 * (1 - threshold)) * total * 20)))
+    members = nodes.drop("docs").join(components(edges, "least", "node").withColumnRenamed("root", "set_group"), "node")
+    links = _links(narrow, saved(members), width, threshold, budget)
+    linked = saved(components(links, "least", "node").join(nodes, "node"))
+    named = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("many"))
+    named = spread_join(linked.select("node", "root"), saved(named), ["root"], "many").select("node", "component_id")
+    named = nodes.join(named.withColumn("linked", F.lit(True)), "node", "left")
+    named = saved(named.select("node", "docs", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    out = spread_join(known.filter("n > 0"), named, ["node"], "docs").select("doc_id", "n", "component_id")
+    out = out.unionByName(known.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _parts(spark, size: float) -> int:
+    """Tasks for a shuffle of so many bytes: none gets more than about TASK of them, however large the input is."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // TASK) + 1)
+
+
+def _links(narrow: DataFrame, members: DataFrame, width: int, t: Fraction, budget: int) -> DataFrame:
+    """Links (least, node) that connect what all links connect; members: (node, doc_id, n, set_group), a saved table."""
+    weights = saved(members.groupBy("set_group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("many")))
+    blocks = F.ceil(F.col("total") / budget).cast("long")
+    dealt = saved(spread_join(members, weights, ["set_group"], "many").withColumn("blocks", blocks))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    everywhere = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks") * 4) == 0
+    places = F.when(everywhere & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
+    first = saved(_search(narrow, dealt, F.transform(places, lambda i: F.struct(F.xxhash64("set_group", i).alias("cell"), F.lit(None).cast("int").alias("role"))), width, t))
+    if not weights.filter(F.col("total") > budget).limit(1).count():
+        return first
+    # Groups of several blocks: parts that the blocks have joined up, and the largest of them.
+    wide = dealt.filter("blocks > 1").join(components(first, "least", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wide = saved(wide)
+    parts = saved(wide.groupBy("set_group", "root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("many")))
+    main = parts.groupBy("set_group").agg(F.max(F.struct("weight", "root")).alias("main"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("parts"), F.sum("many").alias("many"))
+    main = saved(main.filter("parts > 1").select("set_group", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.weight")) / budget).cast("long").alias("rests"), "many"))
+    if not main.limit(1).count():
+        return first
+    rest = spread_join(wide, main, ["set_group"], "many")
+    along, across = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(3)), F.col("rests"))
+    cell = lambda i, j, role: F.struct(F.xxhash64("set_group", F.lit(7), i, j).alias("cell"), F.lit(role).alias("role"))
+    right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda i: cell(i, along, 1))
+    left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: cell(across, j, 0))
+    second = _search(narrow, saved(rest), F.when(F.col("root") == F.col("main"), right).otherwise(F.concat(left, right)), width, t)
+    return saved(first.unionByName(second))
+
+
+def _search(narrow: DataFrame, wanted: DataFrame, cells, width: int, t: Fraction) -> DataFrame:
+    """Links (least, node) found in all cells; cells: a column over wanted, an array of (cell, role) for each node."""
+    spark = narrow.sparkSession
+    stamp = lambda node, ids: mix64(mix64(node) + ids)
+    stamped = T.StructType([T.StructField("stamp", T.LongType())])
+
+    def stamps(batches):
+        for batch in batches:
+            ids = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(stamp(batch.column(0).to_numpy().view(np.uint64), ids.view(np.uint64)).view(np.int64))], names=["stamp"])
+
+    shared = spark.sparkContext.broadcast(key_filter(wanted.select("node", "doc_id").mapInArrow(stamps, stamped)))
+    shipped = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def ship():
+        seen = set()
+
         def worker(batch):
             for part in slices(batch, "text"):
-                bounds, values = shingles(*text_bytes(part.column(0)), width, BITS)
-                made = node_hashes(bounds, values)
-                node, group, blocks = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                out = []
-                for i in np.flatnonzero(made == node):
-                    raw = values[bounds[i] : bounds[i + 1]].tobytes()
-                    b, n = int(node[i]) % int(blocks[i]), int(blocks[i])
-                    for other in range(n):
-                        lo, hi = sorted((b, other))
-                        cell = int(mix64(np.array([(int(group[i]) * 1_000_003 + lo * n + hi) % (1 << 64)], np.uint64))[0] >> np.uint64(1))
-                        out.append((cell, int(node[i]), b, lo == hi, raw))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=shipped.names)
+                bounds, values = shingles(*text_bytes(part.column(1)), width, BITS)
+                node = node_hashes(bounds, values)
+                ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                chosen = may_have(shared.value, stamp(node.view(np.uint64), ids.view(np.uint64))) & (np.diff(bounds) > 0)
+                fresh = [i for i in np.flatnonzero(chosen).tolist() if int(node[i]) not in seen]
+                seen.update(node[fresh].tolist())
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in fresh], pa.binary())], names=shipped.names)
 
         return worker
 
     link = T.StructType([T.StructField("least", T.LongType()), T.StructField("node", T.LongType())])
 
-    def cells(batches):
+    def search(batches):
         for table in groups(batches, "cell"):
             node = table["node"].to_numpy()
-            _, first = np.unique(node, return_index=True)  # a doc_id that repeats may bring a set twice
+            role = table["role"].fill_null(0).to_numpy()
+            # Rows that repeat a doc_id and its text may bring a set twice.
+            _, first = np.unique(np.stack([node, role]), axis=1, return_index=True)
             sets = [np.frombuffer(table["shingles"][int(i)].as_buffer(), np.uint64) for i in first]
-            across = None if table["alone"][0].as_py() else table["block"].to_numpy()[first]
-            if len(sets) > 1 and (links := search_cell(sets, node[first], t, across)):
+            roles = None if table["role"].null_count else role[first]
+            if len(sets) > 1 and (links := search_cell(sets, node[first], t, roles)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=link.names)
 
-    dealt = map_arrow(rows, ship, shipped)
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(cells, link)
+    placed = wanted.select("node", "n", cells.alias("cells"))
+    size = placed.agg(F.sum(F.col("n") * F.size("cells"))).first()[0] or 0
+    rows = map_arrow(narrow, ship, shipped).join(placed.select("node", "cells").hint("merge"), "node")
+    rows = rows.select("node", "shingles", F.explode("cells").alias("c")).select("c.cell", "c.role", "node", "shingles")
+    return rows.repartition(_parts(spark, 8.0 * size), "cell").sortWithinPartitions("cell").mapInArrow(search, link)

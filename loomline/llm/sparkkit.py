@@ -1,4 +1,4 @@
-"""Spark helpers: tables in the shared folder, Arrow mapping, checked broadcasts, distributed ranks."""
+"""Spark helpers: tables in the shared folder, Arrow mapping, joins with hot keys, fixed-size filters, distributed ranks."""
 
 from __future__ import annotations
 
@@ -15,17 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.textkit import slices
+from loomline.llm.textkit import mix64, slices
 
-#: A side of a join is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 500_000
+#: So many keys of most rows are joined by broadcast; none of the others can have more than 1 / HOT of the rows.
+HOT = 256
+#: Bits of a filter of keys, whatever the number of keys; and bits set for each key.
+FILTER_BITS, FILTER_WAYS = 1 << 26, 4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that driver and executors share; a temporary one where unset, as in tests."""
+    """The folder of spark.checkpoint.dir that driver and executors share; where unset, a temporary one in local mode alone."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomline-"))
     return sc.getCheckpointDir()
 
 
@@ -51,12 +56,60 @@ def saved(df: DataFrame) -> DataFrame:
     return Table(df).df
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has been counted to be small; otherwise as it is, for a shuffled join.
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """The inner join of big with small, which has one row for each key, without a task that holds a hot key.
 
-    df should be a saved table of few, narrow columns: it is counted here.
+    rows: small's column with the number of big's rows of each key, which is left out. The HOT keys of most rows,
+    a fixed number, meet big by broadcast; all others by a shuffle. Both tables are read twice and should be saved.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    hot = small.orderBy(F.desc(rows), *on).limit(HOT)
+    few = big.join(F.broadcast(hot.drop(rows)), on)  # HOT rows at most
+    others = small.join(F.broadcast(hot.select(*on)), on, "left_anti").drop(rows)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(others, on)
+    return few.unionByName(rest)
+
+
+def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
+    for way in range(FILTER_WAYS):
+        yield mix64(keys ^ np.uint64(0x9E3779B97F4A7C15 * (way + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(FILTER_BITS - 1)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of a table's one long column; of FILTER_BITS bits however many keys there are."""
+
+    def run(batches):
+        words = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
+
+    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_have(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter may have been made of: all that it was, and few others."""
+    out = np.ones(len(keys), bool)
+    for at in _places(keys):
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def sieve(df: DataFrame, key: str, words: np.ndarray, has: bool) -> DataFrame:
+    """The rows of df whose long key the filter may have been made of, or (has=False) surely was not."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    at = df.columns.index(key)
+
+    def run(batches):
+        for batch in batches:
+            keep = may_have(shared.value, batch.column(at).to_numpy().view(np.uint64)) == has
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def give_back() -> None:

@@ -216,7 +216,7 @@ def brute_components(rows, width, t):
     return {d: (len(s), least[root(i)]) for i, (d, s) in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("width", "t", "budget"), [(3, Fraction(9, 10), 1 << 22), (5, Fraction(8, 10), 1 << 22), (3, Fraction(8, 10), 300)])
+@pytest.mark.parametrize(("width", "t", "budget"), [(3, Fraction(9, 10), 1 << 22), (5, Fraction(8, 10), 1 << 22), (3, Fraction(8, 10), 300), (5, Fraction(8, 10), 60)])
 def test_jaccard_join_is_exact(spark, width, t, budget):
     rnd = random.Random(width)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -236,15 +236,18 @@ def test_jaccard_join_is_exact(spark, width, t, budget):
     assert got == brute_components(rows, width, t)
 
 
-def test_divide_skip_finds_what_counting_finds():
+@pytest.mark.parametrize(("most", "needs"), [(12, (1, 8)), (150, (40, 120))])
+def test_divide_skip_finds_what_counting_finds(monkeypatch, most, needs):
+    """Up to 120 occurrences needed; with a dearer probe fewer lists are set aside, and the heap has more than one to find."""
     rnd = np.random.default_rng(4)
-    for _ in range(200):
-        lists = [np.sort(rnd.choice(60, rnd.integers(0, 40), replace=False)) for _ in range(rnd.integers(1, 12))]
-        need = int(rnd.integers(1, 8))
-        ids, counts = np.unique(np.concatenate(lists), return_counts=True)
-        want = {int(i): int(c) for i, c in zip(ids, counts, strict=True) if c >= need}
-        got = jaccard.divide_skip(lists, need, jaccard._probe)
-        assert dict(got) == want or {k for k, _ in got} == set(want)
+    for mu in (0.0085, 0.5):
+        monkeypatch.setattr(jaccard, "MU", mu)
+        for _ in range(100):
+            lists = [np.sort(rnd.choice(60, rnd.integers(0, 59), replace=False)) for _ in range(rnd.integers(most // 3, most))]
+            need = int(rnd.integers(*needs))
+            ids, counts = np.unique(np.concatenate(lists), return_counts=True)
+            found, shared = jaccard.divide_skip(lists, need, jaccard._probe)
+            assert dict(zip(ids[counts >= need].tolist(), counts[counts >= need].tolist(), strict=True)) == dict(zip(found.tolist(), shared.tolist(), strict=True))
 
 
 def test_jaccard_of_odd_and_empty_tables(odd):
