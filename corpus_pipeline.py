@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import bpe, jaccard, langid, mixing, quality
 from loomline.llm.queries import table, vocabulary
-from loomline.llm.sparkkit import saved, small_side
+from loomline.llm.sparkkit import key_filter, saved, sieve, spread_join
 
 #: The least posterior probability with which a language counts as identified.
 SURE = 0.5
@@ -42,18 +42,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A row is known by that hash: a doc_id may have several texts, or be null. Rows alike in doc_id and text are one.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    ids = saved(rows.groupBy("__row").agg(F.first("doc_id").alias("__id"), F.count(F.lit(1)).alias("__times")))
-    again = saved(ids.filter("__times > 1").select("__row"))
-    if again.limit(1).count():
-        once = rows.join(small_side(again), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*names)).alias("__first"))
-        rows = saved(rows.join(small_side(again), "__row", "left_anti").select("__row", *names).unionByName(once.select("__row", "__first.*")))
-    found = jaccard.join(rows, SHINGLE, ALIKE, key="__row").filter("n_shingles > 0")
-    placed = saved(found.join(ids, "__row").select("__row", "__id", F.col("component_id").alias("__root")))
-    best = placed.groupBy("__root").agg(F.count(F.lit(1)).alias("__size"), F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__best"))
-    best = saved(best.filter("__size > 1").select("__root", F.col("__best.__row").alias("__kept")))
-    copies = saved(placed.join(small_side(best), "__root").filter("__row <> __kept").select("__row"))
-    return rows.join(small_side(copies), "__row", "left_anti").select(*names)
+    rows = docs.select(*names, F.xxhash64("doc_id", "text").alias("__row"))
+    ids = rows.groupBy("__row").agg(F.first("doc_id").alias("__id"), F.count(F.lit(1)).alias("__times"))
+    found = jaccard.join(rows, SHINGLE, ALIKE, key="__row").groupBy("__row").agg(F.max("component_id").alias("__root"))
+    placed = saved(found.join(ids, "__row"))
+    best = placed.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__best"), F.count(F.lit(1)).alias("__size"))
+    decided = spread_join(placed, saved(best.select("__root", F.col("__best.__row").alias("__kept"), "__size")), ["__root"], "__size")
+    decided = decided.select("__row", (F.col("__row") == F.col("__kept")).alias("__keep"), "__times")
+    special = saved(decided.filter("not __keep or __times > 1").select("__row", "__keep"))
+    # Rows that are neither dropped nor repeated stay where they are; only the others, and the few that the filter takes for them, are shuffled.
+    words = key_filter(special.select("__row"))
+    firsts = sieve(rows, "__row", words, True).groupBy("__row").agg(F.min(F.struct(*names)).alias("__first"))
+    firsts = firsts.join(special.hint("merge"), "__row", "left").filter(F.coalesce("__keep", F.lit(True))).select("__first.*")
+    return sieve(rows, "__row", words, False).select(*names).unionByName(firsts.select(*names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
