@@ -52,12 +52,16 @@ BITS = 47
 FREQUENT = 1 << 18
 #: Shingles counted together before those met once are let go.
 COUNTED = 1 << 22
-#: Shingles of a group that one task searches.
-BUDGET = 1 << 20
+#: Shingles of a group that one task searches; a set costs as many more as the budget divided by SETS.
+BUDGET, SETS = 1 << 20, 512
 #: Bytes of candidates that one task gets, and so many buckets a task gets them in.
 TASK, BUCKETS = 32 << 20, 4
-#: DivideSkip's weight of a probe against a heap's step.
-MU = 0.0085
+#: Sets of one cell whose searches go first.
+FIRST = 64
+#: DivideSkip's weight of a probe against a heap's step: probes go by arrays, and cost little here.
+MU = 0.0008
+#: Entries of short lists that a heap merges; sorting them on end is about 20 times faster beyond that.
+HEAP = 2048
 
 _ROW = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
@@ -261,10 +265,11 @@ def divide_skip(lists: list[np.ndarray], need: int, probe) -> tuple[np.ndarray,
 def _merge_skip(short: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids on at least `need` of the lists, and on how many, by a heap of the lists' fronts.
 
-    Where need is 1, nothing can be skipped, and the lists are merged by sorting them on end.
+    Where need is 1, nothing can be skipped, and the lists are merged by sorting them on end, as are very many entries.
     """
-    if need == 1:
-        return np.unique(np.concatenate(short), return_counts=True)
+    if need == 1 or sum(map(len, short)) > HEAP:
+        found, counts = np.unique(np.concatenate(short), return_counts=True)
+        return found[counts >= need], counts[counts >= need]
     lists = [x.tolist() for x in short]
     at = [0] * len(lists)
     heap = [(x[0], i) for i, x in enumerate(lists)]
@@ -303,54 +308,69 @@ def _probe(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def search_cell(sets: list[np.ndarray], nodes: np.ndarray, t: Fraction, role: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the sets as all links do: (least node, node) for each node that is linked.
 
+    A search looks only for sets that aren't joined up with its own yet. Some sets of middle size that stand alone
+    search first, among all sizes, so that a cluster of near copies is soon one part; then each searches the sets
+    that are no larger. Sets of the largest part needn't search each other.
     role: 0 or 1 for each set; if given, only sets of different roles are compared.
     """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sets, nodes, sizes = [sets[i] for i in order], nodes[order], sizes[order]
-    role = np.zeros(len(sets), np.int64) if role is None else role[order].astype(np.int64) + 1
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    indexes = {}
-    for r in np.unique(role).tolist():
-        mine = role[owner] == r
-        by = np.lexsort((owner[mine], token[mine]))
-        names, owners = token[mine][by], owner[mine][by]
-        cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
-        indexes[r] = (names[cuts[:-1]], cuts, owners)
-    parent = np.arange(len(sets))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    for i, own in enumerate(sets):
+    part = np.arange(len(sets))
+
+    def index(mine: np.ndarray):
+        some = mine[owner]
+        by = np.lexsort((owner[some], token[some]))
+        names, owners = token[some][by], owner[some][by]
+        cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(1, np.int64)
+        return names[cuts[:-1]], cuts, owners
+
+    def search(i: int, upto: int, names: np.ndarray, cuts: np.ndarray, owners: np.ndarray) -> int:
+        """Join up set i with those before `upto` that it is linked with; how many parts they were."""
         need = -(-t.numerator * int(sizes[i]) // t.denominator)
         smallest = int(np.searchsorted(sizes, need))
-        other = (0, 2, 1)[role[i]]
-        if smallest >= i or other not in indexes:
-            continue
-        names, cuts, owners = indexes[other]
-        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-        at = at[names[at] == own]
-        at = at[cuts[at + 1] - cuts[at] > (other == 0)]  # in one index for all, the set's own entry is there
-        lists = []
-        for a, b in zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True):
-            x = owners[a:b]
-            lo, hi = x.searchsorted((smallest, i))
-            if lo < hi:
-                lists.append(x[lo:hi])
-        found, shared = divide_skip(lists, need, _probe)
+        if smallest >= upto or len(names) < need:
+            return 0
+        at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
+        at = at[names[at] == sets[i]]
+        length = cuts[at + 1] - cuts[at]
+        ids = owners[np.repeat(cuts[at] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        use = (ids >= smallest) & (ids < upto) & (part[ids] != part[i])
+        ids, which = ids[use], np.repeat(np.arange(len(at)), length)[use]
+        breaks = np.flatnonzero(which[1:] != which[:-1]) + 1
+        if len(ids) < need or len(breaks) + 1 < need:
+            return 0
+        found, shared = divide_skip(np.split(ids, breaks), need, _probe)
         linked = found[t.denominator * shared >= t.numerator * (sizes[i] + sizes[found] - shared)]
         if len(linked):
-            met = [root(int(x)) for x in np.unique(parent[linked])]
-            parent[[root(i), *met]] = parent[linked] = min(root(i), *met)
-    least: dict[int, int] = {}
-    for i in range(len(sets)):
-        r = root(i)
-        least[r] = min(least.get(r, int(nodes[i])), int(nodes[i]))
-    return [*{(least[root(i)], int(nodes[i])) for i in range(len(sets)) if int(nodes[i]) != least[root(i)]}]
+            met = np.unique(part[linked])
+            part[np.isin(part, met) | (part == part[i])] = min(int(part[i]), int(met[0]))
+            return len(met)
+        return 0
+
+    if role is not None:
+        role = role[order]
+        both = [index(role == 1), index(role == 0)]
+        for i in range(len(sets)):
+            search(i, i, *both[role[i]])
+    else:
+        whole = index(np.ones(len(sets), bool))
+        idle = 0
+        for _ in range(FIRST):
+            alone = np.flatnonzero(np.bincount(part, minlength=len(sets))[part] == 1)
+            if len(alone) < 2 or idle > 2:
+                break
+            i = int(alone[len(alone) // 2])
+            idle = 0 if search(i, int(np.searchsorted(sizes, int(sizes[i]) * t.denominator // t.numerator, "right")), *whole) > 1 else idle + 1
+        main = part == np.bincount(part).argmax()
+        rest = index(~main)
+        for i in range(len(sets) if not main.all() else 0):
+            search(i, i, *(rest if main[i] else whole))
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, part, nodes)
+    least = least[part]
+    return [*{(int(a), int(b)) for a, b in zip(least, nodes, strict=True) if a != b}]
 
 
 def join(docs: DataFrame, width: int, threshold: Fraction, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
@@ -365,7 +385,7 @@ def join(docs: DataFrame, width: int, threshold: Fraction, text: str = "text", k
     nodes = saved(known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs")))
     total = nodes.filter(F.col("n") >= _least(threshold)).agg(F.sum("n")).first()[0] or 0
     edges = saved(_stars(narrow, width, threshold, frequent, _parts(spark, float(2 * (1 - threshold)) * total * 20)))
-    members = nodes.drop("docs").join(components(edges, "least", "node").withColumnRenamed("root", "set_group"), "node")
+    members = nodes.drop("docs").join(components(edges, "least", "node").withColumnRenamed("root", "set_group"), "node").withColumn("cost", F.col("n") + budget // SETS)
     links = _links(narrow, saved(members), width, threshold, budget)
     linked = saved(components(links, "least", "node").join(nodes, "node"))
     named = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("many"))
@@ -383,35 +403,33 @@ def _parts(spark, size: float) -> int:
 
 
 def _links(narrow: DataFrame, members: DataFrame, width: int, t: Fraction, budget: int) -> DataFrame:
-    """Links (least, node) that connect what all links connect; members: (node, doc_id, n, set_group), a saved table."""
-    weights = saved(members.groupBy("set_group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("many")))
+    """Links (least, node) that connect what all links connect; members: (node, doc_id, n, cost, set_group), a saved table."""
+    weights = saved(members.groupBy("set_group").agg(F.sum("cost").alias("total"), F.count(F.lit(1)).alias("many")))
     blocks = F.ceil(F.col("total") / budget).cast("long")
     dealt = saved(spread_join(members, weights, ["set_group"], "many").withColumn("blocks", blocks))
+    sets = saved(_sets(narrow, dealt, width))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
     everywhere = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks") * 4) == 0
     places = F.when(everywhere & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
-    first = saved(_search(narrow, dealt, F.transform(places, lambda i: F.struct(F.xxhash64("set_group", i).alias("cell"), F.lit(None).cast("int").alias("role"))), width, t))
-    if not weights.filter(F.col("total") > budget).limit(1).count():
-        return first
+    first = saved(_search(sets, dealt, F.transform(places, lambda i: F.struct(F.xxhash64("set_group", i).alias("cell"), F.lit(None).cast("int").alias("role"))), t))
     # Groups of several blocks: parts that the blocks have joined up, and the largest of them.
-    wide = dealt.filter("blocks > 1").join(components(first, "least", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    wide = saved(wide)
-    parts = saved(wide.groupBy("set_group", "root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("many")))
+    wide = saved(dealt.filter("blocks > 1").join(components(first, "least", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parts = saved(wide.groupBy("set_group", "root").agg(F.sum("cost").alias("weight"), F.count(F.lit(1)).alias("many")))
     main = parts.groupBy("set_group").agg(F.max(F.struct("weight", "root")).alias("main"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("parts"), F.sum("many").alias("many"))
     main = saved(main.filter("parts > 1").select("set_group", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.weight")) / budget).cast("long").alias("rests"), "many"))
     if not main.limit(1).count():
         return first
-    rest = spread_join(wide, main, ["set_group"], "many")
+    rest = saved(spread_join(wide, main, ["set_group"], "many"))
     along, across = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(3)), F.col("rests"))
     cell = lambda i, j, role: F.struct(F.xxhash64("set_group", F.lit(7), i, j).alias("cell"), F.lit(role).alias("role"))
     right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda i: cell(i, along, 1))
     left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: cell(across, j, 0))
-    second = _search(narrow, saved(rest), F.when(F.col("root") == F.col("main"), right).otherwise(F.concat(left, right)), width, t)
+    second = _search(sets, rest, F.when(F.col("root") == F.col("main"), right).otherwise(F.concat(left, right)), t)
     return saved(first.unionByName(second))
 
 
-def _search(narrow: DataFrame, wanted: DataFrame, cells, width: int, t: Fraction) -> DataFrame:
-    """Links (least, node) found in all cells; cells: a column over wanted, an array of (cell, role) for each node."""
+def _sets(narrow: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the texts of their doc_ids."""
     spark = narrow.sparkSession
     stamp = lambda node, ids: mix64(mix64(node) + ids)
     stamped = T.StructType([T.StructField("stamp", T.LongType())])
@@ -433,8 +451,11 @@ def _search(narrow: DataFrame, wanted: DataFrame, cells, width: int, t: Fraction
                 node = node_hashes(bounds, values)
                 ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 chosen = may_have(shared.value, stamp(node.view(np.uint64), ids.view(np.uint64))) & (np.diff(bounds) > 0)
-                fresh = [i for i in np.flatnonzero(chosen).tolist() if int(node[i]) not in seen]
-                seen.update(node[fresh].tolist())
+                fresh = []
+                for i in np.flatnonzero(chosen).tolist():
+                    if int(node[i]) not in seen:
+                        seen.add(int(node[i]))
+                        fresh.append(i)
                 if len(seen) > 1 << 20:
                     seen.clear()
                 if fresh:
@@ -442,6 +463,11 @@ def _search(narrow: DataFrame, wanted: DataFrame, cells, width: int, t: Fraction
 
         return worker
 
+    return map_arrow(narrow, ship, shipped).join(wanted.select("node").hint("merge"), "node", "left_semi")
+
+
+def _search(sets: DataFrame, wanted: DataFrame, cells, t: Fraction) -> DataFrame:
+    """Links (least, node) found in all cells; cells: a column over wanted, an array of (cell, role) for each node."""
     link = T.StructType([T.StructField("least", T.LongType()), T.StructField("node", T.LongType())])
 
     def search(batches):
@@ -450,13 +476,12 @@ def _search(narrow: DataFrame, wanted: DataFrame, cells, width: int, t: Fraction
             role = table["role"].fill_null(0).to_numpy()
             # Rows that repeat a doc_id and its text may bring a set twice.
             _, first = np.unique(np.stack([node, role]), axis=1, return_index=True)
-            sets = [np.frombuffer(table["shingles"][int(i)].as_buffer(), np.uint64) for i in first]
+            found = [np.frombuffer(table["shingles"][int(i)].as_buffer(), np.uint64) for i in first]
             roles = None if table["role"].null_count else role[first]
-            if len(sets) > 1 and (links := search_cell(sets, node[first], t, roles)):
+            if len(found) > 1 and (links := search_cell(found, node[first], t, roles)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=link.names)
 
     placed = wanted.select("node", "n", cells.alias("cells"))
     size = placed.agg(F.sum(F.col("n") * F.size("cells"))).first()[0] or 0
-    rows = map_arrow(narrow, ship, shipped).join(placed.select("node", "cells").hint("merge"), "node")
-    rows = rows.select("node", "shingles", F.explode("cells").alias("c")).select("c.cell", "c.role", "node", "shingles")
-    return rows.repartition(_parts(spark, 8.0 * size), "cell").sortWithinPartitions("cell").mapInArrow(search, link)
+    rows = sets.join(placed.select("node", "cells").hint("merge"), "node").select("node", "shingles", F.explode("cells").alias("c")).select("c.cell", "c.role", "node", "shingles")
+    return rows.repartition(_parts(sets.sparkSession, 8.0 * size), "cell").sortWithinPartitions("cell").mapInArrow(search, link)

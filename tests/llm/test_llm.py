@@ -240,8 +240,9 @@ def test_jaccard_join_is_exact(spark, width, t, budget):
 def test_divide_skip_finds_what_counting_finds(monkeypatch, most, needs):
     """Up to 120 occurrences needed; with a dearer probe fewer lists are set aside, and the heap has more than one to find."""
     rnd = np.random.default_rng(4)
-    for mu in (0.0085, 0.5):
+    for mu, heap in ((0.0008, 2048), (0.5, 1 << 30), (0.02, 1 << 30)):
         monkeypatch.setattr(jaccard, "MU", mu)
+        monkeypatch.setattr(jaccard, "HEAP", heap)
         for _ in range(100):
             lists = [np.sort(rnd.choice(60, rnd.integers(0, 59), replace=False)) for _ in range(rnd.integers(most // 3, most))]
             need = int(rnd.integers(*needs))
@@ -250,6 +251,42 @@ def test_divide_skip_finds_what_counting_finds(monkeypatch, most, needs):
             assert dict(zip(ids[counts >= need].tolist(), counts[counts >= need].tolist(), strict=True)) == dict(zip(found.tolist(), shared.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("role", [False, True])
+def test_cell_finds_all_links(role):
+    rnd = np.random.default_rng(9)
+    sets = []
+    for size in (30, 30, 80, 200):
+        base = rnd.choice(1 << 40, size, replace=False)
+        for _ in range(25):
+            own = base.copy()
+            own[rnd.choice(size, rnd.integers(0, size // 5), replace=False)] = rnd.integers(1 << 40, 1 << 41)
+            sets.append(np.unique(own[: rnd.integers(size * 9 // 10, size + 1)]).astype(np.uint64))
+    side = rnd.integers(0, 2, len(sets)) if role else None
+    parent = [*range(len(sets))]
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if (side is None or side[a] != side[b]) and 10 * shared >= 8 * (len(sets[a]) + len(sets[b]) - shared):
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = [new if x == old else x for x in parent]
+    got = dict(map(reversed, jaccard.search_cell(sets, np.arange(len(sets)), Fraction(8, 10), side)))
+    assert [got.get(i, i) for i in range(len(sets))] == parent
+
+
+def test_jaccard_of_a_group_of_half_the_table(spark):
+    """Sets that drift away from the first, in one group of many blocks, of which no block knows all parts."""
+    rnd = random.Random(8)
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(240):
+        if i % 3 == 0:
+            words = words[:]
+            words[rnd.randrange(60)] = f"d{i}"
+        rows.append((i, " ".join(words if i % 2 == 0 else [f"x{i}y{j}" for j in range(20)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, 3, Fraction(9, 10), budget=200).collect()}
+    assert got == brute_components(rows, 3, Fraction(9, 10))
+
+
 def test_jaccard_of_odd_and_empty_tables(odd):
     assert jaccard.join(odd, 3, Fraction(9, 10)).count() == odd.count()
     assert jaccard.join(odd.limit(0), 3, Fraction(9, 10)).count() == 0
