@@ -8,12 +8,14 @@ above it, and of those equal to it the smallest ids, and ranks what is left: at
 
 From a block, counts below its own k-th score can't matter, as the k-th of all is no lower; they aren't sent, so
 that a block sends at most about k bins a query. Blocks are bounded by BLOCK rows, and nothing that grows is
-broadcast: the blocks of queries are dealt to the blocks of rows by a join on the query block.
+broadcast: the blocks of queries, which are few, are dealt to the blocks of rows by a join on the row block, so
+that there are as many tasks as row blocks, and rows stay where they are.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, as query or as
 candidate; nor do vectors whose length isn't the most frequent one (of equally frequent ones the shortest). Rows
-with a null id are no queries and no candidates. Repeated ids are rows of their own as candidates; a query never
-gets rows of its own id. With fewer than k candidates all are returned. An empty table gives an empty one.
+with a null id are no queries and no candidates. Repeated ids are rows of their own as candidates; a query id
+that repeats is one query, with the least of its vectors (component by component), and a query never gets rows of
+its own id. With fewer than k candidates all are returned. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 from loomline.llm.sparkkit import Table, groups, map_arrow, saved
 
 BINS = 256
-BLOCK = 8192
+BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Tasks of a pass are as many as row blocks, up to this.
+MOST_TASKS = 10_000
 #: The score of a pair that doesn't count.
 NEVER = -1e300
 
@@ -50,7 +54,8 @@ def packed(rows: DataFrame, block: int, name: str) -> DataFrame:
     """rows in blocks of about `block`, at most that many in a part: (name, part, ids, vectors as binary of doubles)."""
     blocks = blocks_of(rows, block)
     schema = T.StructType([T.StructField(name, T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("vs", T.BinaryType())])
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    # The running number parts rows that are alike; rows should be a saved table, which numbers them alike in each run.
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(F.col(name)).sortWithinPartitions(name)
 
     def run(batches):
@@ -69,10 +74,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bins: int = BINS) -> Dat
     """query_id, rank, vec_id, score of each query's k best; rows and queries are (id, v) with integer components."""
     if rows.limit(1).count() == 0 or queries.limit(1).count() == 0:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    queries = saved(queries.groupBy("id").agg(F.min("v").alias("v")))
     left = saved(packed(queries, QUERY_BLOCK, "q").withColumnsRenamed({"ids": "q_ids", "vs": "q_vs"}))
     right = saved(packed(rows, BLOCK, "b"))
-    # Each block of rows meets each block of queries; what is sent grows with rows x blocks of queries.
-    every = right.select("b", "ids", "vs", F.explode(F.sequence(F.lit(0), F.lit(blocks_of(queries, QUERY_BLOCK) - 1))).alias("q"))
+    # Each block of queries meets each block of rows; what is sent grows with queries x blocks of rows.
+    every = (right, blocks_of(rows, BLOCK))
     longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).first()[0]
     reach = queries.select(F.col("id").alias("query_id"), F.ceil(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x) * float(longest)) + 1).cast("long").alias("reach"))
     reach = reach.groupBy("query_id").agg(F.max("reach").alias("reach"))
@@ -105,12 +111,15 @@ def _window():
     return Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _pass(left: DataFrame, every: DataFrame, state: DataFrame, k: int, width: int, bins: int, count: bool) -> DataFrame:
+def _pass(left: DataFrame, every: tuple[DataFrame, int], state: DataFrame, k: int, width: int, bins: int, count: bool) -> DataFrame:
     """Score all blocks: (query_id, bin, n) in the state's ranges, or the (query_id, vec_id, score) that may be among the k."""
     keyed = left.select("q", "part", F.posexplode("q_ids").alias("place", "query_id"))
     ranges = keyed.join(state, "query_id").groupBy("q", "part").agg(F.array_sort(F.collect_list(F.struct("place", "low", "want"))).alias("ranges"))  # QUERY_BLOCK at most
     ready = left.join(ranges, ["q", "part"]).select("q", "q_ids", "q_vs", F.transform("ranges", lambda r: r["low"]).alias("lows"), F.transform("ranges", lambda r: r["want"]).alias("wants"))
-    pairs = every.join(ready, "q").select("ids", "vs", "q_ids", "q_vs", "lows", "wants")
+    right, blocks = every
+    tasks = min(blocks, MOST_TASKS)
+    asked = ready.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).repartition(tasks, "b")
+    pairs = right.repartition(tasks, "b").join(asked.hint("merge"), "b").select("ids", "vs", "q_ids", "q_vs", "lows", "wants")
     if count:
         schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
     else:

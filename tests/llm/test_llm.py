@@ -150,6 +150,21 @@ def test_top_k_is_exact(spark):
     assert topk.search(few.limit(0), few, 20).count() == 0
 
 
+def test_top_k_of_repeated_queries_and_candidates(spark):
+    rnd = np.random.default_rng(6)
+    m = rnd.integers(-9, 9, (60, 8)).astype(float)
+    rows = [(i, [float(x) for x in v], "clash") for i, v in enumerate(m)]
+    rows += [rows[0], (0, [float(x) for x in m[7]], "clash"), (20, [float(x) for x in m[9]], "clash"), rows[5], rows[5]]
+    table = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), "vec_id", "embedding")
+    got = {}
+    for r in topk.search(table, table.filter("id % 20 = 0"), 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 20, 40):
+        own = min(v for i, v, _ in rows if i == q)
+        scored = sorted((-int(np.dot(own, v)), i) for i, v, _ in rows if i != q)[:20]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+
+
 def test_nearest_recall_and_equal_vectors(spark):
     rnd = np.random.default_rng(2)
     m = rnd.normal(size=(600, 16))
