@@ -29,12 +29,43 @@ SELECT doc_id, size, source_size, target, ((floor((pos + 1) * copies + start) -
 FROM numbered JOIN expected ON numbered.source IS NOT DISTINCT FROM expected.source
 """
 
-#: Lines that a reader quotes, and what remains of a message without them; the tables hold no quotes, and the
-#: links are tested on fixtures.
-_CHAT = """
-SELECT conv_id, turn, role, coalesce(text, '') AS body, 0 AS quote_depth, 0 AS n_passages, NULL::BIGINT AS reply_to, turn AS thread, 0::BIGINT AS depth,
-  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') AS formatted
-FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^[ \\t]*>')
+_MARK = "^[ \\t]*(>[ \\t]*)+"
+_PLAIN = "regexp_replace(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g')"
+
+_CHAT = f"""
+WITH RECURSIVE messages AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), lines AS (
+  SELECT id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS i
+  FROM messages WHERE regexp_matches(text, '(^|[\\r\\n])[ \\t]*>')
+), levelled AS (
+  SELECT id, i, len(replace(replace(regexp_extract(line, '{_MARK}'), ' ', ''), chr(9), '')) AS level, regexp_replace(line, '{_MARK}', '') AS line FROM lines
+), marked AS (
+  SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY i))::INT AS new FROM levelled
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT id, run, any_value(level) AS level, string_agg(line, chr(10) ORDER BY i) AS text, coalesce(first(line ORDER BY i) FILTER ({_PLAIN.format('line')} <> ''), '') AS head FROM numbered GROUP BY id, run
+), quoted AS (
+  SELECT id, max(level) AS quote_depth, count(*) FILTER (level > 0) AS n_passages, regexp_replace(regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY run) FILTER (level = 0), ''), '^[\\s\\x0B]+', ''), '[\\s\\x0B]+$', '') AS body FROM runs GROUP BY id
+), parsed AS (
+  SELECT m.*, coalesce(q.body, m.text) AS body, coalesce(q.quote_depth, 0) AS quote_depth, coalesce(q.n_passages, 0) AS n_passages FROM messages m LEFT JOIN quoted q ON q.id = m.id
+), units AS (
+  SELECT conv_id, unit, min(turn) AS parent FROM (SELECT conv_id, turn, {_PLAIN.format("unnest(list_concat([body], regexp_split_to_array(body, '\\n[ \\t]*\\n'), string_split(body, chr(10))))")} AS unit FROM parsed)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND unit <> '' GROUP BY 1, 2
+), asked AS (
+  SELECT m.conv_id, m.turn, {_PLAIN.format('r.text')} AS whole, {_PLAIN.format('r.head')} AS head FROM runs r JOIN messages m ON m.id = r.id WHERE r.level = 1 AND m.conv_id IS NOT NULL AND m.turn IS NOT NULL
+), parents AS (
+  SELECT a.conv_id, a.turn, max(CASE WHEN w.parent < a.turn THEN w.parent WHEN h.parent < a.turn THEN h.parent END) AS reply_to
+  FROM asked a LEFT JOIN units w ON w.conv_id = a.conv_id AND w.unit = a.whole LEFT JOIN units h ON h.conv_id = a.conv_id AND h.unit = a.head GROUP BY 1, 2
+), linked AS (SELECT * FROM parents WHERE reply_to IS NOT NULL
+), chains AS (
+  SELECT conv_id, turn, reply_to AS up, 1::BIGINT AS depth FROM linked
+  UNION ALL SELECT c.conv_id, c.turn, l.reply_to, c.depth + 1 FROM chains c JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.up
+), ends AS (SELECT conv_id, turn, arg_max(up, depth) AS thread, max(depth) AS depth FROM chains GROUP BY 1, 2)
+SELECT p.conv_id, p.turn, p.role, p.body, p.quote_depth::INT AS quote_depth, p.n_passages::INT AS n_passages, l.reply_to, coalesce(e.thread, p.turn) AS thread, coalesce(e.depth, 0) AS depth,
+  '<|' || coalesce(p.role, 'unknown') || '|>' || chr(10) || p.body AS formatted
+FROM parsed p LEFT JOIN linked l ON l.conv_id = p.conv_id AND l.turn = p.turn LEFT JOIN ends e ON e.conv_id = p.conv_id AND e.turn = p.turn
 """
 
 _TOPK = """

@@ -320,6 +320,48 @@ def test_quotes_are_linked(spark):
     assert chat.conversations(empty).count() == 0
 
 
+def plain_rows(names, values):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(str(r[i]) for i in order) for r in values)
+
+
+def test_generated_threads_are_linked_as_sql_links_them(spark):
+    """Nested quotes, ties between originals, forged quotes, repeated turns, nulls and a long message."""
+    import duckdb
+    import pyarrow as pa
+
+    from loomline.llm.oracle import ORACLES
+
+    rnd = random.Random(12)
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(rnd.randint(1, 14)):
+            own = [" ".join(rnd.choice(["Yes", "no", "the cat", "a  dog", "runs", ">x", "ß"]) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 4))]
+            lines = own[:]
+            for _ in range(rnd.randint(0, 2)):
+                text = rnd.choice(said) if said and rnd.random() < 0.8 else "forged words\nmore"
+                part = text.split("\n")
+                part = part[rnd.randrange(len(part)) :] if rnd.random() < 0.3 else part
+                at = rnd.randint(0, len(lines))
+                lines[at:at] = [rnd.choice(["> ", ">", " > "]) + x.upper() if rnd.random() < 0.2 else "> " + x for x in part]
+            text = rnd.choice(["\n", "\n", "\r\n"]).join(lines)
+            said.append(text.replace("\r\n", "\n"))
+            rows.append((conv, turn, rnd.choice(["user", "assistant", None]), text, turn, "clash"))
+            if rnd.random() < 0.1:
+                rows.append(rows[-1])
+    rows += [(99, 0, "u", "\n".join(["> a", ">> b", "c"] * 3000), 0, ""), (99, 1, "u", "> c\nd", 0, ""), (98, None, "u", "> c\nd", 0, ""), (None, 1, "u", "> c\nd", 0, ""), (97, 1, "u", None, 0, ""), (97, 2, "u", "", 0, "")]
+    columns = ["conv_id", "turn", "role", "text", "depth", "body"]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth long, body string"))
+    conversations = pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)})  # noqa: F841  (DuckDB reads it by name)
+    want = duckdb.sql(ORACLES["op8_chat"])
+    found = got.collect()
+    assert plain_rows(got.columns, found) == plain_rows(want.columns, want.fetchall())
+    assert sum(r["reply_to"] is not None for r in found) > 60 and max(r["depth"] for r in found) > 3 and max(r["quote_depth"] for r in found) > 3
+    keys = [(r["conv_id"], r["thread"], r["turn"]) for r in found if r["conv_id"] is not None and r["turn"] is not None]
+    assert keys == sorted(keys)
+
+
 def test_quality_on_held_out_documents(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = queries.op9_quality(spark, sf).join(labels, "doc_id").collect()
