@@ -6,7 +6,8 @@ made from it is broadcast, and each batch is scored in numpy: its n-grams are a
 matrix in row order, multiplied with the matrix by gathering rows and summing them within each text.
 
 Defined results: a text that is null, empty or has no letter gives `und` with score 0, as does any text
-when no row could be learned from. Texts of any length are read whole, in steps. Rows with a null
+when no row could be learned from. More than MAX_LANGUAGES labels are refused before anything is collected, and none is
+dropped. Texts of any length are read whole, in steps. Rows with a null
 language or a null text teach nothing. Ties go to the language that comes first by code point. Repeated
 rows each get the same answer; other columns are passed through, and a column called like an added one
 gives way to it.
@@ -105,11 +106,12 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", smoothing: flo
         worker.flush = flush
         return worker
 
+    few = known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if few > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; map rare labels to null or to a common one first")
     counts = map_arrow(known, maker, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
+    found = counts.toArrow()  # MAX_LANGUAGES x BUCKETS rows at most
     languages = sorted(set(found["lang"].to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the matrix is kept to {MAX_LANGUAGES}")
     table = np.zeros((BUCKETS + 2, len(languages)))
     if languages:
         codes = {x: i for i, x in enumerate(languages)}

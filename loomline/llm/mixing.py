@@ -7,8 +7,9 @@ target / size times. Prefix sums of that expectation, in an order by size and ha
 the source, cross an integer for each copy to emit, so that documents of like size are taken evenly and the
 words taken come near the target.
 
-The prefix sums are distributed: documents are numbered within (source, size class, hash digit), and those
-groups' totals say where each begins. A source may hold any share of the rows.
+The prefix sums are distributed: documents are numbered within (source, size class, hash digits), and those
+groups' totals say where each begins. A source may hold any share of the rows, and documents of one size any share
+of a source: their hashes part them into 16 to the power of DIGITS groups.
 
 Defined results: a null text has size 0; documents of size 0 are emitted as others are, and count no words. A
 null source is a source of its own, ordered last. Equal rows share their number of copies one by one. All
@@ -27,6 +28,8 @@ from loomline.llm.sparkkit import ranked, repeat, saved
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
+#: Documents of one source and size class are numbered within 16 to the power of so many groups, by their hash.
+DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,7 +73,7 @@ def copies(docs: DataFrame, seed: str = "mix", key: str = "doc_id", text: str =
     rows = narrow.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
     digits = F.col("size").cast("string")
     rows = rows.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    rows = rows.withColumn("__class", F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")).withColumn("__digit", F.substring("__hash", 1, 1))
+    rows = rows.withColumn("__class", F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")).withColumn("__digit", F.substring("__hash", 1, DIGITS))
     rows = saved(rows)
     plan = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), **recipe)
     plan = saved(plan.select("source", "source_size", "target", "expected", offset(F.col("source"), seed).alias("offset")))

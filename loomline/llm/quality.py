@@ -7,7 +7,7 @@ broadcast (a few thousand numbers) and walked by all rows of a batch at once.
 
 Defined results: null and empty texts have all statistics 0 and are scored by the same trees. With no labelled
 row the score is 0.5, with labels of one kind it is near that kind's share. A document labelled more than once
-counts as its least label; labels other than 0 and 1, and null labels, teach nothing. Repeated rows each get the
+counts as its least label, and an id that several texts have as the least statistics of them; labels other than 0 and 1, and null labels, teach nothing. Repeated rows each get the
 same score; other columns pass through, and a column called like an added one gives way to it.
 """
 
@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     sample = marked.groupBy("key").agg(F.min("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(most_rows)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key")  # bounded by most_rows
     field = T.StructField("__statistics", T.ArrayType(T.DoubleType()))
-    found = add_columns(rows, "text", _statistics_worker, [field]).select("key", "label", "__statistics").limit(2 * most_rows).toArrow()
+    # A row for each key, whatever the order of arrival; at most most_rows of them.
+    found = add_columns(rows, "text", _statistics_worker, [field]).groupBy("key").agg(F.min("label").alias("label"), F.min("__statistics").alias("__statistics")).toArrow()
     order = np.argsort(found["key"].to_numpy(), kind="stable")
     flat = found["__statistics"].combine_chunks()
     x = flat.flatten().to_numpy().reshape(-1, len(STATISTICS)) if len(flat) else np.zeros((0, len(STATISTICS)))

@@ -134,6 +134,53 @@ def test_url_rules(spark):
     assert got[9]["verdict"] == "block" and got[9]["host"] == "free-casino.net"
 
 
+HELD_OUT = [
+    *((u, 1) for u in ("http://casino-royal.test/slots", "https://pills-store.test/cheap", "http://www.adult-videos.test/en", "https://free-betting.test/de/4", "http://ads-click.test/banner", "https://spam-network.test/links/9")),
+    *((u, 1) for u in ("http://bets.test/win", "https://xxx.test/cams/7", "http://m.track-click.test/ads", "https://farm-links.test/seo")),
+    *((u, 0) for u in ("https://www.college.test/courses/2021", "http://bookshop.test/novels", "https://cycling.test/routes/spain", "http://www.cathedral.test/visit", "https://blog.chemistry.test/en/31", "http://m.airport.test/arrivals")),
+    *((u, 0) for u in ("https://opera.test/programme", "http://fishing.test/lakes/north", "https://www.embassy.test/fr/visa", "http://astronomy.test/planets/mars")),
+]
+
+
+def test_urls_that_no_rule_fits(spark):
+    """Verdicts on labelled URLs that weren't learned from, and the sum of weights in plain Python for some odd ones."""
+    weights, intercept = urlfilter.fit(urlfilter.labelled_urls(spark))
+    pages = spark.createDataFrame([(i, u, "clash", y) for i, (u, y) in enumerate(HELD_OUT)], "page_id long, url string, host string, rule int")
+    got = {r["page_id"]: r for r in urlfilter.judge(pages, weights, intercept, rules=()).collect()}
+    right = sum((got[i]["verdict"] == "block") == bool(y) for i, (_, y) in enumerate(HELD_OUT))
+    assert right >= 0.9 * len(HELD_OUT)
+    odd = ["http://a", "x", None, "http://\U0001f389é.test/\U0001f389", "http://" + "long" * 300 + "/" + "p" * 500, "http://a", ""]
+    rows = spark.createDataFrame([*enumerate(odd), (None, "http://b/c")], "page_id long, url string")
+    def texts(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        return ("^" + (m[1].lower() if m else "") + "$", "^" + (m[2] if m else "") + "$")
+
+    grams = [(i, name, t[j : j + k]) for i, u in enumerate(odd) for name, t in zip("hp", texts(u), strict=True) for k in (3, 4, 5) for j in range(len(t) - k + 1)]
+    hashed = spark.createDataFrame([(i, n, [*g]) for i, n, g in grams], "i int, n string, g array<string>")
+    total = {i: intercept for i in range(len(odd))}
+    by_size = [F.when(F.size("g") == k, F.xxhash64("n", *[F.get("g", F.lit(j)) for j in range(k)])) for k in (3, 4, 5)]
+    for r in hashed.select("i", F.pmod(F.coalesce(*by_size), F.lit(urlfilter.DIMENSIONS)).alias("b")).collect():
+        total[r["i"]] += weights[r["b"]]
+    found = {r["page_id"]: r["unwanted"] for r in urlfilter.judge(rows, weights, intercept).collect()}
+    assert len(found) == len(odd) + 1
+    assert all(abs(found[i] - 1 / (1 + np.exp(-t))) < 1e-9 for i, t in total.items())
+    assert urlfilter.judge(rows.limit(0), weights, intercept).count() == 0
+
+
+def test_the_first_of_equally_long_rules_wins(spark):
+    page = spark.createDataFrame([(1, "http://a.org/ab")], "page_id long, url string")
+    for first, second, verdict in ((("allow", "a.org/"), ("block", "org/ab"), "allow"), (("block", "org/ab"), ("allow", "a.org/"), "block")):
+        assert urlfilter.judge(page, [0.0], 0.0, rules=(first, second)).first()["verdict"] == verdict
+
+
+def test_too_many_labels_are_refused(spark, odd, monkeypatch):
+    with pytest.raises(ValueError):
+        urlfilter.fit(urlfilter.labelled_urls(spark), most=10)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(odd)
+
+
 def test_top_k_is_exact(spark):
     rnd = np.random.default_rng(1)
     m = rnd.integers(-9, 9, (300, 8)).astype(float)
