@@ -216,8 +216,8 @@ def test_nearest_recall_and_equal_vectors(spark):
     rnd = np.random.default_rng(2)
     m = rnd.normal(size=(600, 16))
     m[100:300] = m[100]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(600, [0.0] * 16), (601, None), (602, [float("inf")] * 16)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [float(x) for x in v], "clash") for i, v in enumerate(m)] + [(600, [0.0] * 16, ""), (601, None, ""), (602, [float("inf")] * 16, ""), (None, [9.0] * 16, ""), (0, [float(x) for x in m[0]], "")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
     got = {}
     for r in ann.nearest(table, F.col("id") % 20 == 0, 20).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -251,6 +251,24 @@ def test_nearest_recall_of_uneven_vectors(spark, kind):
     assert np.mean([h for q, h in hits.items() if 500 <= q < 1500]) >= 0.9
 
 
+def test_descent_makes_the_graph(spark, monkeypatch):
+    """From first neighbours within small blocks alone, a narrow beam finds far fewer than after rounds of descent."""
+    rnd = np.random.default_rng(5)
+    m = rnd.normal(size=(3000, 12))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+    monkeypatch.setattr(ann, "CELL", 40)
+    monkeypatch.setattr(ann, "PIVOTS", (8, 8))
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    best = {q: {*np.argsort(-s[q])[:20].tolist()} for q in range(0, 3000, 50)}
+    recall = []
+    for rounds in (0, 10):
+        index = ann.build(rows, 20, most_rounds=rounds)
+        got = index.graph.select("node", "near").filter("node % 50 = 0").collect()
+        recall.append(np.mean([len({*r["near"][:20]} & best[r["node"]]) / 20 for r in got]))
+    assert recall[1] >= 0.9 > recall[0] + 0.2
+
+
 def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     if not words:
