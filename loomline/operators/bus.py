@@ -19,20 +19,28 @@ def lagged(pushed: DataFrame, producer: str, capacity: int, lag: int, limit: int
     return (kept.filter(F.col("rn") <= lag + limit) if limit else kept).drop("rn")
 
 
-def consumer_windows(pushed: DataFrame, producer: str, producers: list[str], capacity: int, lag: int, last_seen: DataFrame | None = None) -> DataFrame:
-    """For each consumer what it sees: producers in order, its own one more behind, versions after the last seen, `capacity` in all."""
-    n = len(producers)
-    share = max(1, capacity // n)
+def consumer_windows(pushed: DataFrame, producer: str, capacity: int, lag: int, last_seen: DataFrame | None = None, streams: DataFrame | None = None) -> DataFrame:
+    """For each consumer what it sees: producers in order, its own one more behind, versions after the last seen, `capacity` in all.
+
+    streams: a table of names, if it isn't those that pushed. There may be any number: no consumer sees more than `capacity`
+    producers, the last in order that have a version to see, so that capacity + 1 of them are dealt to all.
+    """
+    names = (streams if streams is not None else pushed).select(producer).distinct()
+    share = F.greatest(F.lit(1), F.floor(F.lit(capacity) / F.col("__n")).cast("int"))
+    n = names.agg(F.count(F.lit(1)).alias("__n"))
     rn = F.row_number().over(Window.partitionBy(producer).orderBy(F.desc("version")))
-    kept = pushed.withColumn("rn", rn).filter(F.col("rn") <= max(capacity, share + lag + 1))
-    seen = kept.withColumn("consumer", F.explode(F.array(*[F.lit(p) for p in producers])))
+    kept = pushed.withColumn("rn", rn).filter((F.col("rn") > lag) & (F.col("rn") <= lag + 1 + capacity)).join(F.broadcast(n)).filter(F.col("rn") <= lag + 1 + share)  # n is one row
+    top = kept.select(producer).distinct().join(names, producer, "left_semi")
+    if last_seen is None:
+        top = top.orderBy(F.desc(producer)).limit(capacity + 1)
+    held = kept.join(top, producer, "left_semi").agg(F.collect_list(F.struct(*kept.columns)).alias("__held"))  # without last_seen (capacity + 1) squared at most
+    seen = names.select(F.col(producer).alias("consumer")).join(F.broadcast(held)).select("consumer", F.explode("__held").alias("h")).select("consumer", "h.*")
     own = F.lit(lag) + (F.col("consumer") == F.col(producer)).cast("int")
     seen = seen.filter((F.col("rn") > own) & (F.col("rn") <= own + share))
     if last_seen is not None:
-        seen = seen.join(F.broadcast(last_seen), ["consumer", producer], "left").filter(F.col("version") > F.coalesce("last_version", F.lit(0)))  # a row for each pair of streams
-    place = F.array_position(F.array(*[F.lit(p) for p in producers]), F.col(producer))
-    back = Window.partitionBy("consumer").orderBy(place.desc(), F.desc("version"))
-    return seen.withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= capacity).drop("__r", "rn")
+        seen = seen.join(last_seen, ["consumer", producer], "left").filter(F.col("version") > F.coalesce("last_version", F.lit(0)))
+    back = Window.partitionBy("consumer").orderBy(F.desc(producer), F.desc("version"))
+    return seen.withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= capacity).drop("__r", "rn", "__n")
 
 
 def strides(rows: DataFrame, stream: str, order: list[str], size: int) -> DataFrame:

@@ -20,12 +20,16 @@ def stratified_split(rows: DataFrame, domain: str, key: str, seed: int, shares:
 
 
 def augmented(rows: DataFrame, key: str, copies: int, seed: int, lag: str, cadence: str) -> DataFrame:
-    """1 + copies rows for each; copies have a suffixed id, and a lag and a cadence moved by hash."""
+    """1 + copies rows for each; copies have an id suffixed by their number from 0, and a lag and a cadence moved by hash.
+
+    A copy's lag moves from 1, and its cadence from 6, where the row has none or 0; the row itself stays as it is.
+    """
     spread = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
     pick = lambda name, n: F.conv(F.substring(hashing.sha(F.concat_ws(":", F.col(key).cast("string"), F.col("copy").cast("string"), F.lit(f"{name}{seed}"))), 1, 8), 16, 10).cast("long") % n
-    moved = lambda c, name, n, step, least: F.when(F.col("copy") == 0, F.col(c)).otherwise(F.greatest(F.lit(least), F.col(c) + (pick(name, n) - 1) * step)).cast("int")
-    name = F.when(F.col("copy") == 0, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_aug"), F.col("copy").cast("string")))
-    return spread.withColumns({lag: moved(lag, "lag", 3, 1, 1), cadence: moved(cadence, "cadence", 3, 2, 2), "record_id": name})
+    known = lambda c, default: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, default).otherwise(F.col(c))
+    moved = lambda c, name, step, least, default: F.when(F.col("copy") == 0, F.col(c)).otherwise(F.greatest(F.lit(least), known(c, default) + (pick(name, 3) - 1) * step)).cast("int")
+    name = F.when(F.col("copy") == 0, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_aug"), (F.col("copy") - 1).cast("string")))
+    return spread.withColumns({lag: moved(lag, "lag", 1, 1, 1), cadence: moved(cadence, "cadence", 2, 2, 6), "record_id": name})
 
 
 def pending(targets: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -73,17 +73,17 @@ def g13_self_only(spark, sf_dir):
     return bus.self_only(seen, "consumer", "producer", F.col("event_id") % 100, 30)
 
 
-_WINDOW = f"""WITH n AS ({_NUMBERED}), w AS (SELECT user_id, list({{'p': event_type, 'v': version, 'note': CASE WHEN user_id % 4 = 0 THEN 0 ELSE value END}} ORDER BY version) AS w FROM n WHERE version < 6 GROUP BY 1)"""
+_WINDOW = f"""WITH n AS ({_NUMBERED}), w AS (SELECT user_id, list({{'p': event_type, 'v': version, 'note': CASE WHEN user_id % 4 = 0 THEN 0 ELSE value END}} ORDER BY version) AS w, version // 6 AS part FROM n GROUP BY 1, 3)"""
 
 
-@query(_WINDOW + """, k AS (SELECT user_id, w[1:greatest(len(w) - 2, 1)] AS w FROM w),
+@query(_WINDOW + """, k AS (SELECT user_id, part, w[1:greatest(len(w) - 2, 1)] AS w FROM w),
 i AS (SELECT *, list_position([x.p FOR x IN w], 'click') AS a, list_position([x.p FOR x IN w], 'view') AS b FROM k),
-s AS (SELECT user_id, generate_subscripts(w, 1) AS pl, w, a, b FROM i),
-x AS (SELECT user_id, pl, w[CASE WHEN a > 0 AND b > 0 AND pl = a THEN b WHEN a > 0 AND b > 0 AND pl = b THEN a ELSE pl END] AS e FROM s)
-SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY substr(sha256(user_id || ':' || (pl - 1)), 1, 16), pl))::INT AS place, e.p AS producer, e.v::INT AS version, e.note AS note FROM x""")
+s AS (SELECT user_id, part, generate_subscripts(w, 1) AS pl, w, a, b FROM i),
+x AS (SELECT user_id, part, pl, w[CASE WHEN a > 0 AND b > 0 AND pl = a THEN b WHEN a > 0 AND b > 0 AND pl = b THEN a ELSE pl END] AS e FROM s)
+SELECT user_id, part, (row_number() OVER (PARTITION BY user_id, part ORDER BY substr(sha256(user_id || ':' || (pl - 1)), 1, 16), pl))::INT AS place, e.p AS producer, e.v::INT AS version, e.note AS note FROM x""")
 def g14_interventions(spark, sf_dir):
     entry = F.struct("version", F.col("event_type").alias("producer"), F.col("value").alias("note"), F.lit(1).alias("live"))
-    windows = _pushes(spark, sf_dir).filter("version < 6").groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("w"))  # six entries at most
+    windows = _pushes(spark, sf_dir).groupBy("user_id", F.expr("version div 6").alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("w"))  # six entries at most
     done = bus.intervened(F.col("w"), ablate=F.col("user_id") % 4 == 0, stale=2, swaps=(("click", "view"),), shuffle=F.col("user_id").cast("string"))
-    rows = windows.select("user_id", F.posexplode(done).alias("at", "e"))
-    return rows.select("user_id", (F.col("at") + 1).alias("place"), "e.producer", "e.version", "e.note")
+    rows = windows.select("user_id", "part", F.posexplode(done).alias("at", "e"))
+    return rows.select("user_id", "part", (F.col("at") + 1).alias("place"), "e.producer", "e.version", "e.note")

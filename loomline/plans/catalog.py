@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import hashing, text, vectors
 from loomline.operators import bus, corpus, notes, screen, telemetry
-from loomline.plans import bus_queries, contract_queries, supervision_queries  # noqa: F401  (they register)
+from loomline.plans import bus_queries, contract_queries, record_queries, supervision_queries  # noqa: F401  (they register)
 from loomline.plans.registry import ORACLES as ORACLES
 from loomline.plans.registry import QUERIES as QUERIES
 from loomline.plans.registry import query, r6, t
@@ -60,17 +60,28 @@ def a9_until_quota(spark, sf_dir):
 _TOKENS = "len(regexp_extract_all({}, '[^ \\t\\n\\x0B\\f\\r]+'))"
 
 
-@query(f"""WITH b AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN '' ELSE substr(text, 1, 40 + item_id) END AS q, text AS c FROM benchmark), n AS (SELECT *, {_TOKENS.format('q')} AS a, {_TOKENS.format('c')} AS g, len(regexp_extract_all(c, '\\pL')) AS l FROM b)
-SELECT item_id, CASE WHEN trim(q) = '' THEN 'missing_question' WHEN a > 12 THEN 'question_tokens>12' WHEN g > 60 THEN 'context_tokens>60' WHEN g < 10 THEN 'context_too_short'
- WHEN l > 0 AND (l - len(regexp_extract_all(c, '[A-Za-z]'))) / l > 0.04 THEN 'non_latin_ratio_exceeded' WHEN a + g + 8 > 55 THEN 'total_tokens>55' END AS reason FROM n""")
+_DIGEST = "CASE WHEN reason IS NULL THEN sha256(trim(regexp_replace(lower({}), '\\s+', ' ', 'g'), ' ')) END"
+
+
+@query(f"""WITH b AS (SELECT doc_id, coalesce(source, '') AS q, regexp_replace(regexp_replace(coalesce(text, ''), '^[\\s\\x0B]+', ''), '[\\s\\x0B]+$', '') AS c FROM documents),
+n AS (SELECT *, {_TOKENS.format('q')} AS a, {_TOKENS.format('c')} AS g, len(regexp_extract_all(c, '\\pL')) AS l FROM b),
+r AS (SELECT doc_id, c, CASE WHEN q = '' THEN 'missing_question' WHEN c = '' THEN 'missing_context' WHEN contains(c, chr(0)) THEN 'contains_nul' WHEN a > 12 THEN 'question_tokens>12' WHEN g > 600 THEN 'context_tokens>600' WHEN g < 40 THEN 'context_too_short' WHEN a < 1 THEN 'question_too_short'
+ WHEN len(regexp_extract_all(q || c, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) / greatest(length(q || c), 1) > 0.01 THEN 'control_ratio_exceeded' WHEN l > 0 AND (l - len(regexp_extract_all(c, '[A-Za-z]'))) / l > 0.04 THEN 'non_latin_ratio_exceeded' WHEN a + g + 8 > 500 THEN 'total_tokens>500' END AS reason FROM n),
+d AS (SELECT *, {_DIGEST.format('c')} AS digest FROM r)
+SELECT doc_id, coalesce(reason, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY digest) THEN 'duplicate_context' END) AS reason FROM d""")
 def p8_question_screen(spark, sf_dir):
-    question = F.when(F.col("item_id") % 9 == 0, "").otherwise(F.substring("text", F.lit(1), (F.col("item_id") + 40).cast("int")))
-    return t(spark, sf_dir, "benchmark").select("item_id", screen.qa_checks(question, F.col("text"), (1, 12), (10, 60), 55, non_latin=0.04).alias("reason"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", "source", text.strip(F.coalesce("text", F.lit(""))).alias("context"))
+    checks = screen.qa_checks(F.col("source"), F.col("context"), (1, 12), (40, 600), 500, non_latin=0.04)
+    return screen.screened(rows, checks, "context", "doc_id", "duplicate_context").select("doc_id", "reason")
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN text = '' THEN 'missing_question' WHEN {_TOKENS.format('text')} > 60 THEN 'question_tokens>60' WHEN {_TOKENS.format('text')} + 9 > 50 THEN 'total_tokens>50' END AS reason FROM conversations""")
+@query(f"""WITH r AS (SELECT conv_id, turn, text, conv_id * 100000 + turn AS nth, CASE WHEN text = '' THEN 'missing_question' WHEN {_TOKENS.format('text')} > 60 THEN 'question_tokens>60' WHEN {_TOKENS.format('text')} + 9 > 50 THEN 'total_tokens>50' END AS reason FROM conversations),
+d AS (SELECT *, {_DIGEST.format('text')} AS digest FROM r)
+SELECT conv_id, turn, coalesce(reason, CASE WHEN nth > min(nth) OVER (PARTITION BY digest) THEN 'duplicate_question' END) AS reason FROM d""")
 def p9_maths_screen(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", screen.maths_checks(F.col("text"), F.col("role"), 60, most_total=50, non_latin=1.0).alias("reason"))
+    rows = t(spark, sf_dir, "conversations").withColumn("nth", F.col("conv_id") * 100000 + F.col("turn"))
+    checks = screen.maths_checks(F.col("text"), F.col("role"), 60, most_total=50, non_latin=1.0)
+    return screen.screened(rows, checks, "text", "nth", "duplicate_question").select("conv_id", "turn", "reason")
 
 
 @query("""WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'ok' END AS label, CASE WHEN quality = 0 AND toxic = 1 THEN 'Rate limit hit' WHEN quality = 0 THEN 'broken' END AS error FROM labels)
@@ -96,9 +107,9 @@ def p1_p6_text_ratios(spark, sf_dir):
 # Hashing and order
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('qa:' || doc_id || ':7'), 1, 16), doc_id)::INT AS place FROM documents")
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('qa:' || doc_id || ':7:{"qa": 25}'), 1, 16), doc_id)::INT AS place FROM documents""")
 def s4_l1_hash_shuffle(spark, sf_dir):
-    order = Window.partitionBy("lang").orderBy(hashing.shuffle_key(F.lit("qa"), F.col("doc_id"), F.lit(7)), "doc_id")
+    order = Window.partitionBy("lang").orderBy(hashing.shuffle_key(F.lit("qa"), F.col("doc_id"), F.lit(7), F.lit('{"qa": 25}')), "doc_id")
     return t(spark, sf_dir, "documents").select("doc_id", F.row_number().over(order).alias("place"))
 
 
@@ -136,10 +147,10 @@ def h6_x30_padded_catalog(spark, sf_dir):
 @query("""WITH h AS (SELECT item_id, sha256(text) AS s FROM benchmark),
 raw AS (SELECT item_id, list_transform(range(0, 8), lambda p: list_sum(list_transform(range(0, 32), lambda i: CASE WHEN i % 8 = p THEN CASE WHEN ('0x' || substr(s, (i * 2 + 2)::BIGINT, 1))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END ELSE 0.0 END))::DOUBLE) AS v FROM h),
 n AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM raw)
-SELECT item_id, round(v[1] / norm, 6) AS v0, round(v[8] / norm, 6) AS v7 FROM n WHERE norm > 0""")
+SELECT item_id, array_to_string(list_transform(v, lambda x: (x / norm * 1000)::INT), ',') AS v FROM n WHERE norm > 0""")
 def h8_sign_vector(spark, sf_dir):
     rows = t(spark, sf_dir, "benchmark").select("item_id", hashing.sign_vector(F.array("text"), 8).alias("v"))
-    return rows.filter(F.exists("v", lambda x: x != 0)).select("item_id", r6(F.col("v")[0]).alias("v0"), r6(F.col("v")[7]).alias("v7"))
+    return rows.filter(F.exists("v", lambda x: x != 0)).select("item_id", F.array_join(F.transform("v", lambda x: F.bround(x * 1000).cast("int").cast("string")), ",").alias("v"))
 
 
 # Text functions
@@ -152,10 +163,10 @@ def f13_f14_token_sets(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.size(text.words(c)).alias("words"), F.size(F.array_distinct(text.words(c))).alias("kinds"), F.size(text.paragraphs(c)).alias("paragraphs"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'item') AS slug,
+@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'item') AS slug,
  coalesce(nullif(replace(trim(source), ' ', '_'), ''), 'ent') AS ident FROM documents""")
 def f3_f4_slugs(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring("text", 1, 80)).alias("slug"), text.identifier(F.col("source")).alias("ident"))
+    return t(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"), text.identifier(F.col("source")).alias("ident"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('complete','covered','done') THEN 'covered' WHEN event_type IN ('partial','progress','ongoing','in_progress','') THEN 'partial' ELSE 'missing' END AS status,
@@ -317,8 +328,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY consumer ORDER BY place DESC, ve
 SELECT consumer, producer, version::INT AS version FROM w WHERE back <= 12""")
 def w2_j14_consumer_windows(spark, sf_dir):
     pushed = _pushed(spark, sf_dir)
-    names = sorted(r[0] for r in pushed.select("producer").distinct().limit(64).collect())  # streams of a run, few by design
-    return bus.consumer_windows(pushed, "producer", names, 12, 1).select("consumer", "producer", "version")
+    return bus.consumer_windows(pushed, "producer", 12, 1).select("consumer", "producer", "version")
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)
@@ -369,12 +379,13 @@ def d9_l2_stratified_split(spark, sf_dir):
     return corpus.stratified_split(t(spark, sf_dir, "documents"), "lang", "doc_id", 42, {"train": 0.8, "validation": 0.1, "test": 0.1}).select("doc_id", "split")
 
 
-@query("""WITH x AS (SELECT doc_id, c FROM documents, range(0, 3) r(c))
-SELECT CASE WHEN c = 0 THEN doc_id::VARCHAR ELSE doc_id || '_aug' || c END AS record_id,
- CASE WHEN c = 0 THEN 1 ELSE greatest(1, 1 + ('0x' || substr(sha256(doc_id || ':' || c || ':lag5'), 1, 8))::BIGINT % 3 - 1) END::INT AS lag_delta,
- CASE WHEN c = 0 THEN 6 ELSE greatest(2, 6 + (('0x' || substr(sha256(doc_id || ':' || c || ':cadence5'), 1, 8))::BIGINT % 3 - 1) * 2) END::INT AS note_cadence FROM x""")
+@query("""WITH x AS (SELECT doc_id, c, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 0 ELSE doc_id % 4 END AS lag, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 * 6 - 6 END AS cadence FROM documents, range(0, 3) r(c))
+SELECT CASE WHEN c = 0 THEN doc_id::VARCHAR ELSE doc_id || '_aug' || (c - 1) END AS record_id,
+ CASE WHEN c = 0 THEN lag ELSE greatest(1, coalesce(nullif(lag, 0), 1) + ('0x' || substr(sha256(doc_id || ':' || c || ':lag5'), 1, 8))::BIGINT % 3 - 1) END::INT AS lag_delta,
+ CASE WHEN c = 0 THEN cadence ELSE greatest(2, coalesce(nullif(cadence, 0), 6) + (('0x' || substr(sha256(doc_id || ':' || c || ':cadence5'), 1, 8))::BIGINT % 3 - 1) * 2) END::INT AS note_cadence FROM x""")
 def d10_augmentation(spark, sf_dir):
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("lag_delta"), F.lit(6).alias("note_cadence"))
+    lag = F.when(F.col("doc_id") % 4 > 1, F.col("doc_id") % 4).when(F.col("doc_id") % 4 == 1, 0)
+    rows = t(spark, sf_dir, "documents").select("doc_id", lag.alias("lag_delta"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 * 6 - 6).alias("note_cadence"))
     return corpus.augmented(rows, "doc_id", 2, 5, "lag_delta", "note_cadence").select("record_id", "lag_delta", "note_cadence")
 
 

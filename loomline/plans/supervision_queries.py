@@ -47,21 +47,23 @@ _LOW = "lower(text)"
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, text, list_distinct(regexp_extract_all({_LOW}, '[a-z0-9]+')) AS w FROM conversations),
-n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS said, list_distinct(flatten(list(w))) AS seen FROM p WHERE turn < 2 GROUP BY 1),
-s AS (SELECT p.conv_id, p.turn, p.text, said, len(w) AS all_, len(list_intersect(w, coalesce(seen, []))) AS hit FROM p LEFT JOIN n USING (conv_id))
+l AS (SELECT p.*, a.text AS t1, a.w AS w1, b.text AS t2, b.w AS w2 FROM p LEFT JOIN p a ON a.conv_id = p.conv_id AND a.turn = p.turn - 1 LEFT JOIN p b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2),
+s AS (SELECT conv_id, turn, text, CASE WHEN t1 IS NOT NULL THEN concat_ws(' ', t2, t1) END AS said, len(w) AS all_, len(list_intersect(w, list_concat(coalesce(w2, []), coalesce(w1, [])))) AS hit FROM l)
 SELECT conv_id, turn, (CASE WHEN said IS NULL THEN 0 WHEN text <> '' AND contains(lower(said), lower(text)) THEN 1 WHEN all_ > 0 AND hit >= all_ THEN 1 WHEN all_ > 0 AND hit / all_ >= 0.2 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM s""")
 def a24_observed_coverage(spark, sf_dir):
     rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    notes = rows.filter("turn < 2").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("notes"))  # two turns
-    both = rows.join(notes, "conv_id", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+    both = rows
+    for back in (2, 1):  # the notes are what the two turns before say
+        both = both.join(rows.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"before{back}")), ["conv_id", "turn"], "left")
+    both = both.withColumn("notes", F.array_compact(F.array("before2", "before1")))
     return both.select("conv_id", "turn", sup.observed_coverage(F.col("text"), F.col("notes"), 0.2).alias("score"))
 
 
-@query("""WITH f AS (SELECT item_id, list_distinct([lower(x) FOR x IN regexp_extract_all(text[1:60], '\\w+')]) AS w, list_distinct([lower(x) FOR x IN regexp_extract_all(text[30:], '\\w+')]) AS n FROM (SELECT item_id, regexp_replace(text, '[^ -~]', 'x', 'g') AS text FROM benchmark))
+@query("""WITH f AS (SELECT item_id, list_distinct([lower(x) FOR x IN regexp_extract_all(text, '\\w+')]) AS w, list_distinct([lower(x) FOR x IN regexp_extract_all(told, '\\w+')]) AS n FROM (SELECT a.item_id, regexp_replace(a.text, '[^ -~]', 'x', 'g') AS text, regexp_replace(b.text, '[^ -~]', 'x', 'g') AS told FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1))
 SELECT item_id, CASE WHEN len(w) > 0 THEN (2 * len(list_intersect(w, n)) >= len(w))::INT END AS supported, CASE WHEN len(w) > 0 THEN (len(list_intersect(w, n)) = len(w))::INT END AS persists FROM f""")
 def a5_a6_support(spark, sf_dir):
-    plain = F.regexp_replace("text", "[^ -~]", "x")
-    rows = t(spark, sf_dir, "benchmark").select("item_id", F.substring(plain, 1, 60).alias("fact"), text.unicode_words(F.substring(plain, F.lit(30), F.length(plain))).alias("notes"))
+    facts = t(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "x").alias("fact"))
+    rows = facts.join(facts.select((F.col("item_id") - 1).alias("item_id"), text.unicode_words(F.col("fact")).alias("notes")), "item_id")
     lowered = F.transform("notes", F.lower)
     return rows.select("item_id", sup.fact_supported(F.col("fact"), F.col("notes")).cast("int").alias("supported"), sup.entity_persists(F.col("fact"), F.array(lowered, lowered)).cast("int").alias("persists"))
 
@@ -170,10 +172,9 @@ def a37_a38_a29_a13_run_maxima(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, contains(lower(coalesce(source, '')), 'x')::INT AS ignored, (doc_id % 3 = 0)::INT AS leans FROM documents")
+@query("""SELECT doc_id, coalesce(regexp_matches(text, '(?i)\\bstream\\s*(one|two|three|1|2|3)\\b|\\b(previous|prior|another)\\s+stream\\b|\\bother\\s+streams?\\b|\\b(depends?\\s+on|uses?|builds?\\s+on|refine|refining)\\s+stream\\b'), false)::INT AS leans FROM documents""")
 def p19_cross_stream_lint(spark, sf_dir):
-    said = F.element_at(F.array(F.lit("This builds on Stream two."), F.lit("Upstream twopence, streams of water"), F.lit("Independent.")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return t(spark, sf_dir, "documents").select("doc_id", F.contains(F.lower(F.coalesce("source", F.lit(""))), F.lit("x")).cast("int").alias("ignored"), text.cross_stream_reference(said).cast("int").alias("leans"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.cross_stream_reference(F.col("text")), F.lit(False)).cast("int").alias("leans"))
 
 
 @query("""WITH d AS (SELECT doc_id, (n_chars < 300) AS a, (lang IS NULL OR lang <> 'en') AS b, contains(text, '  ') AS c FROM documents)
@@ -227,14 +228,15 @@ def m7_cadence_all(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", vectors.cadence(rho, 2.0, 16.0).alias("steps"))
 
 
-@query("SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('task:' || doc_id || ':3'), 1, 16), doc_id) AS r FROM documents WHERE n_chars >= 400) WHERE r <= 40")
+@query("SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('task:' || doc_id || ':3'), 1, 16), doc_id) AS r FROM documents WHERE true) WHERE r <= 40")
 def s2_s8_task_sample(spark, sf_dir):
-    return screen.task_sample(t(spark, sf_dir, "documents").filter("n_chars >= 400"), "lang", "doc_id", 40, "task", 3).select("doc_id")
+    return screen.task_sample(t(spark, sf_dir, "documents"), "lang", "doc_id", 40, "task", 3).select("doc_id")
 
 
-@query("""SELECT doc_id, substr(text, 1, 8000) = text AS whole, CASE WHEN doc_id % 2 = 0 THEN 'Early years, Legacy' ELSE 'None' END AS headings, 'Intro' || chr(10) || chr(10) || source AS flat FROM documents WHERE source IS NOT NULL AND source <> ''""")
+@query("""SELECT doc_id, substr(text, 1, 8000) = text AS whole, coalesce(source, '') || chr(10) || chr(10) || coalesce(text, '') AS flat,
+ coalesce(nullif(array_to_string(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: length(x) >= 5 AND starts_with(x, '==') AND ends_with(x, '==')), lambda x: trim(regexp_replace(x, '^=+|=+$', '', 'g'))), lambda x: x <> '')[1:15], ', '), ''), 'None') AS headings FROM documents""")
 def p12_p33_s3_prompt(spark, sf_dir):
-    marked = F.when(F.col("doc_id") % 2 == 0, F.lit("== Early years ==\nx\n===Legacy===\n====\n")).otherwise("no heading = here")
-    sections = F.array(F.struct(F.lit("Intro").alias("text"), F.lit(None).cast("string").alias("content")), F.struct(F.lit("").alias("text"), F.col("source").alias("content")))
-    rows = t(spark, sf_dir, "documents").filter("source is not null and source <> ''")
-    return rows.select("doc_id", (F.length(screen.excerpt(F.col("text"))) == F.length("text")).alias("whole"), screen.heading_list(marked).alias("headings"), text.flat_sections(sections).alias("flat"))
+    none = F.lit(None).cast("string")
+    sections = F.array(F.struct(F.col("source").alias("text"), none.alias("content")), F.struct(F.lit("").alias("text"), F.col("text").alias("content")))
+    rows = t(spark, sf_dir, "documents")
+    return rows.select("doc_id", (F.length(screen.excerpt(F.col("text"))) == F.length("text")).alias("whole"), screen.heading_list(F.col("text")).alias("headings"), text.flat_sections(sections).alias("flat"))

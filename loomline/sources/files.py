@@ -17,10 +17,13 @@ EXCERPT = 200
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which the cluster shares; a temporary one where that is unset."""
+    """A new folder in spark.checkpoint.dir, which the cluster shares; where that is unset, a temporary one in local mode alone."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomline-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -58,8 +61,8 @@ def write_splits(rows: DataFrame, path: str, split: str) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append as JSON lines the rows whose key is not there yet, so that a stopped export goes on where it was."""
-    spark = rows.sparkSession
+    """Append as JSON lines one row of each key that is not there yet, so that a stopped export goes on where it was."""
+    spark, rows = rows.sparkSession, rows.dropDuplicates([key])
     if existing(spark, [path]):
         done = spark.read.schema(rows.select(key).schema).json(path).select(key).distinct()
         rows = rows.join(done, key, "left_anti")

@@ -62,7 +62,8 @@ def test_bus_window_has_lag_and_limit(spark):
     assert sorted(r["version"] for r in bus.lagged(pushed, "producer", 3, 1, 2).collect()) == [1, 2]
     seen = spark.createDataFrame([("core", "intro", 2)], "consumer string, producer string, last_version int")
     more = pushed.union(spark.createDataFrame([("intro", 4)], "producer string, version int"))
-    out = bus.consumer_windows(more, "producer", ["core", "intro"], 4, 1, seen).filter("consumer = 'core'")
+    streams = spark.createDataFrame([("core",), ("intro",)], "producer string")
+    out = bus.consumer_windows(more, "producer", 4, 1, seen, streams).filter("consumer = 'core'")
     assert [r["version"] for r in out.collect()] == [3]
 
 
