@@ -13,7 +13,7 @@ NN-descent: each node brings together its neighbours and those that it is a neig
 are then compared; who finds a nearer neighbour so takes it. That is a join of the graph with itself and with
 the codes; rounds go on until few neighbours change.
 
-Searching. Each query keeps a beam of the best nodes it has seen, starting from the pivots. In a round it opens
+Searching. Each query keeps a beam of the best nodes it has seen, starting from the pivots, and from its own node if its row is in the index. In a round it opens
 the best unopened ones: joins bring their neighbours in the graph, both ways, and the codes of those, and the
 beam takes the best. When no beam has an unopened node (or after ROUNDS rounds, which beams of this size don't need), the beams' nodes are scored
 again on the original vectors in double precision, nodes give way to their members, and the first k are kept.
@@ -46,8 +46,8 @@ DEGREE = 32
 PIVOT_SHARE, PIVOTS = 64, (64, 4096)
 CELLS = 6
 CELL = 1024
-BEAM = 256
-OPEN = 64
+BEAM = 192
+OPEN = 48
 ROUNDS = 32
 SETTLED = 0.005
 
@@ -56,13 +56,14 @@ _EDGES = T.StructType([T.StructField("node", T.LongType()), T.StructField("near"
 
 @dataclass
 class Index:
-    """nodes (node, code, v), members (node, id), graph (node, near, score, fresh), and the pivots."""
+    """nodes (node, code, v), members (node, id), graph (node, near, score, fresh), the pivots, and the length that codes are divided by."""
 
     nodes: DataFrame
     members: DataFrame
     graph: DataFrame
     pivot_ids: np.ndarray
     pivots: np.ndarray
+    longest: float
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
@@ -164,7 +165,7 @@ def build(rows: DataFrame, k: int, degree: int = DEGREE, most_rounds: int = 10)
         changed = graph.df.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         if changed <= SETTLED * total * degree:
             break
-    return Index(coded, members, graph.df, ids, pivots)
+    return Index(coded, members, graph.df, ids, pivots, longest)
 
 
 def _start(coded: DataFrame, pivots: np.ndarray, degree: int) -> DataFrame:
@@ -282,9 +283,11 @@ _STATE = T.StructType([T.StructField("query", T.LongType()), T.StructField("q",
 
 
 def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best found for each query (id, v as doubles)."""
+    """query_id, rank, vec_id, score of the k best found for each query (id, v as doubles); ids of rows in the index are looked for from their own nodes too."""
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast((index.pivot_ids, index.pivots))
+    longest = index.longest
+    entries = queries.join(index.members.groupBy("id").agg(F.min("node").alias("own")), "id", "left").select("id", "v", "own")
 
     def begin(batches):
         ids, pivots = shared.value
@@ -292,15 +295,21 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, rounds: i
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 s = x @ pivots.T.astype(np.float64)
-                best = best_of(s, OPEN)
-                cuts = np.arange(len(x) + 1) * best.shape[1]
-                yield _state(batch.column(0).to_numpy(), x, ids[best].ravel(), np.take_along_axis(s, best, 1).ravel(), cuts, [[]] * len(x), beam)
-
-    state = Table(queries.mapInArrow(begin, _STATE))
+                rows = {name: [] for name in _STATE.names}
+                for i, (query, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    best = np.argsort(-s[i], kind="stable")[:OPEN]
+                    near, score = ids[best], s[i][best]
+                    if own is not None and own not in near:
+                        near, score = np.concatenate([[own], near]), np.concatenate([[x[i] @ x[i] / longest], score])
+                    for name, value in zip(_STATE.names, (query, x[i].tobytes(), near, score, near, near), strict=True):
+                        rows[name].append(value)
+                yield _batch(rows)
+
+    state = Table(entries.mapInArrow(begin, _STATE))
     links = index.graph.select("node", F.explode("near").alias("near"))
     by = Window.partitionBy("near").orderBy(F.xxhash64("near", "node"))
-    back = links.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= 2 * DEGREE).select(F.col("near").alias("node"), F.col("node").alias("near"))
-    around = saved(links.unionByName(back).groupBy("node").agg(F.collect_set("near").alias("around")))  # three times DEGREE at most
+    back = links.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= DEGREE).select(F.col("near").alias("node"), F.col("node").alias("near"))
+    around = saved(links.unionByName(back).groupBy("node").agg(F.collect_set("near").alias("around")))  # twice DEGREE at most
     for _ in range(rounds):
         if not state.df.filter(F.size("open") > 0).limit(1).count():
             break
@@ -326,6 +335,10 @@ def _state(query: np.ndarray, x: np.ndarray, near: np.ndarray, score: np.ndarray
         rest = own[~np.isin(own, opened[i])][:OPEN]
         for name, value in zip(_STATE.names, (int(query[i]), x[i].tobytes(), own, s, rest, np.concatenate([np.asarray(opened[i], np.int64), rest])), strict=True):
             rows[name].append(value)
+    return _batch(rows)
+
+
+def _batch(rows: dict[str, list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(_STATE.names, kinds, strict=True)], names=_STATE.names)
 
