@@ -28,7 +28,8 @@ from loomline.llm.sparkkit import add_columns
 
 #: The cutting pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-STORE = 300_000
+#: Pieces kept from batch to batch; only short ones are, so that this bounds the bytes too. A task's end empties the store.
+STORE = 200_000
 LOCKSTEP = 64
 NONE = np.int64(1) << 40
 
@@ -69,6 +70,7 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.store: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
     def _build_table(self, key: np.ndarray) -> None:
         """Pair keys in an open hash table, so that whole arrays of pairs find their ranks together."""
@@ -204,16 +206,21 @@ class Codec:
         return np.array([t for t in token if t >= 0], "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        """Work out pieces that the store lacks."""
+        """Work out pieces that the store lacks; long ones stay until the next call."""
+        for p in self.passing:
+            self.store.pop(p, None)
         if len(self.store) + len(pieces) > STORE:
-            self.store = {p: self.store[p] for p in pieces if p in self.store}
+            kept = {p: self.store[p] for p in pieces if p in self.store}
+            self.store.clear()
+            self.store.update(kept)
         new = [p for p in pieces if p not in self.store]
         raw = [p.encode() for p in new]
         short = [i for i, r in enumerate(raw) if len(r) <= LOCKSTEP]
         for i, ids in zip(short, self.merge_many([raw[i] for i in short]), strict=True):
             self.store[new[i]] = ids
-        for i in set(range(len(raw))) - set(short):
-            self.store[new[i]] = self.merge_long(raw[i])
+        self.passing = [new[i] for i, r in enumerate(raw) if len(r) > LOCKSTEP]
+        for p in self.passing:
+            self.store[p] = self.merge_long(p.encode())
 
     def encode_batch(self, texts: list[str], most: int = 1 << 20) -> list[bytes]:
         """Each text's token ids, as little-endian unsigned 32-bit integers."""
@@ -301,6 +308,7 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", ids: str | None = "
             cols = [pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
             return cols + ([pa.array(coded, pa.binary())] if ids else [])
 
+        fn.close = own.store.clear
         return fn
 
     return add_columns(docs, text, work, [T.StructField(n, k) for n, k in kinds])

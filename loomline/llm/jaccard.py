@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.sparkkit import Table, groups, key_filter, map_arrow, may_have, saved, spread_join
+from loomline.llm.sparkkit import Table, ending, groups, key_filter, map_arrow, may_have, saved, spread_join
 from loomline.llm.textkit import mix64, shingles, slices, text_bytes
 
 BITS = 47
@@ -56,6 +56,8 @@ COUNTED = 1 << 22
 BUDGET, SETS = 1 << 20, 512
 #: Bytes of candidates that one task gets, and so many buckets a task gets them in.
 TASK, BUCKETS = 32 << 20, 4
+#: Nodes that a task knows to have met, before it starts anew.
+SEEN = 1 << 18
 #: Sets of one cell whose searches go first.
 FIRST = 64
 #: DivideSkip's weight of a probe against a heap's step: probes go by arrays, and cost little here.
@@ -154,7 +156,7 @@ def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> Da
                     if nodes[i] not in seen:
                         seen.add(nodes[i])
                         fresh[i] = True
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 key = order.keys(values)
                 # Sort by row and key. Where no shingle of a row is frequent, it is in order already.
@@ -214,7 +216,7 @@ def _stars(docs: DataFrame, width: int, t: Fraction, frequent, parts: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=edge.names)
 
     blobs = map_arrow(docs, post, posted).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return blobs.mapInArrow(runs, edge).distinct()
+    return blobs.mapInArrow(ending(runs), edge).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -439,7 +441,7 @@ def _sets(narrow: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             ids = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(stamp(batch.column(0).to_numpy().view(np.uint64), ids.view(np.uint64)).view(np.int64))], names=["stamp"])
 
-    shared = spark.sparkContext.broadcast(key_filter(wanted.select("node", "doc_id").mapInArrow(stamps, stamped)))
+    shared = spark.sparkContext.broadcast(key_filter(wanted.select("node", "doc_id").mapInArrow(ending(stamps), stamped)))
     shipped = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def ship():
@@ -456,7 +458,7 @@ def _sets(narrow: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     if int(node[i]) not in seen:
                         seen.add(int(node[i]))
                         fresh.append(i)
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 if fresh:
                     yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in fresh], pa.binary())], names=shipped.names)
@@ -484,4 +486,4 @@ def _search(sets: DataFrame, wanted: DataFrame, cells, t: Fraction) -> DataFrame
     placed = wanted.select("node", "n", cells.alias("cells"))
     size = placed.agg(F.sum(F.col("n") * F.size("cells"))).first()[0] or 0
     rows = sets.join(placed.select("node", "cells").hint("merge"), "node").select("node", "shingles", F.explode("cells").alias("c")).select("c.cell", "c.role", "node", "shingles")
-    return rows.repartition(_parts(sets.sparkSession, 8.0 * size), "cell").sortWithinPartitions("cell").mapInArrow(search, link)
+    return rows.repartition(_parts(sets.sparkSession, 8.0 * size), "cell").sortWithinPartitions("cell").mapInArrow(ending(search), link)

@@ -80,12 +80,12 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     def run(batches):
         words = np.zeros(FILTER_BITS // 64, np.uint64)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):  # a batch is 10,000 keys or so
                 np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
 
-    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    found = keys.mapInArrow(ending(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
@@ -106,10 +106,11 @@ def sieve(df: DataFrame, key: str, words: np.ndarray, has: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = may_have(shared.value, batch.column(at).to_numpy().view(np.uint64)) == has
-            yield batch.filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                yield part.filter(pa.array(may_have(shared.value, part.column(at).to_numpy().view(np.uint64)) == has))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(ending(run), df.schema)
 
 
 def give_back() -> None:
@@ -120,6 +121,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def ending(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, with free memory given back at the end."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: T.StructType) -> DataFrame:
     """mapInArrow with a worker made once for each task."""
 
@@ -153,6 +164,12 @@ def add_columns(df: DataFrame, text: str, work: Callable[[], Callable[[pa.Array]
                 added = inner(part.column(kept.index(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[f.name for f in schema.fields])
 
+        def flush():
+            if close := getattr(inner, "close", None):
+                close()
+            return ()
+
+        worker.flush = flush
         return worker
 
     return map_arrow(df, maker, schema)
