@@ -434,14 +434,13 @@ def _sets(narrow: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the texts of their doc_ids."""
     spark = narrow.sparkSession
     stamp = lambda node, ids: mix64(mix64(node) + ids)
-    stamped = T.StructType([T.StructField("stamp", T.LongType())])
 
-    def stamps(batches):
-        for batch in batches:
-            ids = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(stamp(batch.column(0).to_numpy().view(np.uint64), ids.view(np.uint64)).view(np.int64))], names=["stamp"])
+    def stamps(batch):
+        ids = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+        return stamp(batch.column(0).to_numpy().view(np.uint64), ids.view(np.uint64))
 
-    shared = spark.sparkContext.broadcast(key_filter(wanted.select("node", "doc_id").mapInArrow(ending(stamps), stamped)))
+    # One Python worker a task: a chain of two would leave twice as many of them idle in each executor.
+    shared = spark.sparkContext.broadcast(key_filter(wanted.select("node", "doc_id"), stamps))
     shipped = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def ship():

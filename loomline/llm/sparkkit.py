@@ -74,13 +74,13 @@ def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
         yield mix64(keys ^ np.uint64(0x9E3779B97F4A7C15 * (way + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(FILTER_BITS - 1)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of a table's one long column; of FILTER_BITS bits however many keys there are."""
+def key_filter(keys: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
+    """Bits of a Bloom filter of a table's one long column, or of what `of` makes of a batch; of FILTER_BITS bits however many keys there are."""
 
     def run(batches):
         words = np.zeros(FILTER_BITS // 64, np.uint64)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):  # a batch is 10,000 keys or so
+            for at in _places(of(batch) if of else batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):  # a batch is 10,000 keys or so
                 np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
