@@ -50,3 +50,12 @@ def test_certainties_are_rounded_as_in_the_sql(spark, tmp_path):
     got = catalog.QUERIES["r4_tolerant_notes"](spark, str(tmp_path)).select("doc_id", "entities", "facts", "coverage").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert {r["doc_id"]: r["facts"].split("/")[3] for r in got if r["doc_id"] in (1561, 2021)} == {1561: "0.281", 2021: "0.510"}
+
+
+def test_tolerant_notes_of_repeated_documents(spark, sf, tmp_path):
+    larger = sf.replace("sf0.001", "sf0.01")
+    duckdb.sql(f"COPY (SELECT d.* REPLACE (doc_id + k * 1000 AS doc_id) FROM '{larger}/documents.parquet' d, range(2) r(k)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    duckdb.sql(f"CREATE VIEW repeated_documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = duckdb.sql(catalog.ORACLES["r4_tolerant_notes"].replace("FROM documents", "FROM repeated_documents")).fetchall()
+    got = catalog.QUERIES["r4_tolerant_notes"](spark, str(tmp_path)).select("doc_id", "entities", "facts", "coverage").collect()
+    assert len(got) == 2000 and sorted(map(tuple, got)) == sorted(want)
