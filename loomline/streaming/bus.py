@@ -16,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.sources import files
 
+#: Scores as written, to be summed without rounding; a sum has ten more digits.
+EXACT = "decimal(28,20)"
+
 
 def stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """The Parquet table `name` in folder, be it a file or a folder, as a stream of files."""
@@ -68,9 +71,18 @@ def pushes(events: DataFrame, producer: str, time: str, key: str, payload: str,
 
 
 def agreement(events: DataFrame, keys: list[str], score: str, tau: float) -> DataFrame:
-    """For each key how many scores there are, and whether their mean lies below tau."""
-    mean = F.avg(score)
-    return events.groupBy(*keys).agg(F.count(score).alias("n"), (mean < tau).cast("int").alias("triggered"))
+    """For each key how many scores there are, and whether their mean lies below tau.
+
+    Distances from tau are summed as decimals, so that a mean of just tau is not below it in whatever order scores come.
+    Keys with scores that decimals of EXACT don't hold as written (of 10^8 and more, of over 20 places, not finite), and
+    sums of 10^18 and more, go by the mean of doubles.
+    """
+    written = lambda c: F.when(c.try_cast(EXACT) == c, c.try_cast(EXACT))
+    rows = events.select(*keys, F.col(score).alias("__score"), F.col(score).try_cast(EXACT).alias("__exact"))
+    rows = rows.select(*keys, "__score", (F.when(F.col("__exact") == F.col("__score"), F.col("__exact")) - written(F.lit(tau))).alias("__gap"))
+    n = F.count("__score")
+    below = F.when(F.count("__gap") == n, F.try_sum("__gap") < 0)
+    return rows.groupBy(*keys).agg(n.alias("n"), F.coalesce(below, F.avg("__score") < tau).cast("int").alias("triggered"))
 
 
 def strides(events: DataFrame, stream_: str, size: int) -> DataFrame:

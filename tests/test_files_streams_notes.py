@@ -1,6 +1,7 @@
 """File sinks that go on after a stop, streams over several batches, and malformed notes."""
 
 import json
+import math
 
 from pyspark.sql import functions as F
 
@@ -53,6 +54,14 @@ def test_empty_stream(spark, tmp_path):
     assert rows.count() == 0 and rows.columns == ["p", "n", "triggered"]
 
 
+def test_a_mean_of_just_tau_is_not_below_it(spark):
+    ties = [32.26, 53.91, 49.73, 64.1]  # their sum as doubles is less than 200 in every order
+    rows = [("tie", x) for x in ties] + [("below", x) for x in [*ties, 49.99]] + [("huge", 1e300), ("huge", -2e300), ("fine", 1e-30), ("endless", math.inf), ("none", None)]
+    for order in (rows, rows[::-1]):
+        got = bus.agreement(spark.createDataFrame(order, "p string, v double"), ["p"], "v", 50.0)
+        assert {r.p: (r.n, r.triggered) for r in got.collect()} == {"tie": (4, 0), "below": (5, 1), "huge": (2, 1), "fine": (1, 1), "endless": (1, 0), "none": (0, None)}
+
+
 def test_compact_notes_and_their_faults(spark):
     good = {"stream_id": "s", "ENT": [["e", "N", "ORG", True, ["x"]], {"id": "d", "name": "D"}], "FACT": ["stray", ["e", "is", "y", "LOW", [3, 9, "abc"]], ["e", "is", "y", 0.25, "none"]], "COVERAGE": [["c", "covered"]]}
     cases = {
