@@ -111,8 +111,8 @@ def fact_items(raw: Column) -> Column:
     items = F.from_json(raw, "array<struct<subj_id:string,predicate:string,object:string,certainty:string,evidence_span:struct<start:string,end:string,text:string>>>")
 
     def clean(x):
-        start = F.coalesce(x["evidence_span"]["start"].try_cast("int"), F.when(x["evidence_span"]["start"].isNull(), 0))
-        end = F.coalesce(x["evidence_span"]["end"].try_cast("int"), F.when(x["evidence_span"]["end"].isNull(), start))
+        start = F.coalesce(x["evidence_span"]["start"].try_cast("long"), F.when(x["evidence_span"]["start"].isNull(), 0))
+        end = F.coalesce(x["evidence_span"]["end"].try_cast("long"), F.when(x["evidence_span"]["end"].isNull(), start))
         bad = start.isNull() | end.isNull() | (start < 0)
         certainty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x["certainty"].try_cast("double"), F.lit(1.0))))
         return F.struct(
@@ -133,7 +133,7 @@ def coverage_items(raw: Column) -> Column:
 
 
 ENTITIES = "array<struct<id:string,name:string,aliases:array<string>,type:string,canonical:boolean>>"
-FACTS = "array<struct<subj_id:string,predicate:string,object:string,certainty:double,start:int,end:int,text:string>>"
+FACTS = "array<struct<subj_id:string,predicate:string,object:string,certainty:double,start:long,end:long,text:string>>"
 
 
 def noisy(items: Column, share: float, *key: Column) -> Column:

@@ -59,3 +59,19 @@ def test_tolerant_notes_of_repeated_documents(spark, sf, tmp_path):
     want = duckdb.sql(catalog.ORACLES["r4_tolerant_notes"].replace("FROM documents", "FROM repeated_documents")).fetchall()
     got = catalog.QUERIES["r4_tolerant_notes"](spark, str(tmp_path)).select("doc_id", "entities", "facts", "coverage").collect()
     assert len(got) == 2000 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tolerant_notes_of_large_keys_and_white_space(spark, tmp_path):
+    keys = [None, 0, 1, 2, -1, -(2**63), *range(2**31 - 2, 2**31 + 3), *range(10**12, 10**12 + 3), *range(2**63 - 3, 2**63)]
+    odd = ["", *text.WHITE, *(f"{c}a{c}" for c in text.WHITE), "<", ">", "<a>", 'a"b\\c', "a/b;c,d", "null", "[1]", "ü€😀", "\x01a\x7f", None]
+    rows = [(k, "a text", "en", "s", 1561) for k in keys] + [(100 + i, "a text", x, y, n) for i, (x, y, n) in enumerate([*((x, "s", 1561) for x in odd), *(("en", x, None) for x in odd), *((x, x, 2**63 - 1) for x in odd)])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE VIEW odd_documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(catalog.ORACLES["r4_tolerant_notes"].replace("FROM documents", "FROM odd_documents")).fetchall()
+    got = catalog.QUERIES["r4_tolerant_notes"](spark, str(tmp_path)).select("doc_id", "entities", "facts", "coverage").collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_spans_beyond_32_bits(spark):
+    facts = records.fact_items(F.lit('[{"subj_id":"a","predicate":"p","object":"o","evidence_span":{"start":3000000000,"end":"4000000000"}}]'))
+    assert [(x["start"], x["end"]) for x in one(spark, f=facts)["f"]] == [(3000000000, 4000000000)]
